@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,7 +198,7 @@ def _encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         size, start = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.utf8_length(texts), 0).to_pylist()
+        lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
         for k, n in enumerate(lengths):
             size += n
             if size >= chars or k == len(lengths) - 1:
