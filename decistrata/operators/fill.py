@@ -67,7 +67,7 @@ def tidy_states(states: DataFrame, catalog: DataFrame, domains: DataFrame, group
     held if any delivery of the state has it. Rows without ``state_id`` name no state and are left out."""
     features = catalog_features(catalog, groups)
     signed = signed_features(states, features, spread)
-    s = with_domain(states.where(F.col("state_id").isNotNull()), domains)
+    s = with_domain(states.where(F.col("state_id").isNotNull()).select("state_id", "domain_id", "network_id", "time_id", *dict.fromkeys([*groups, "network_features"])), domains)
     values = [plausible(F.col(g)[n], f"{g}.{n}" in signed).alias(f"f{i}") for i, (g, n) in enumerate(features)]
     alike = []
     for i, (a, b) in enumerate(spread.similarity):
@@ -76,7 +76,7 @@ def tidy_states(states: DataFrame, catalog: DataFrame, domains: DataFrame, group
     s = s.select("state_id", "domain", network_key(F.col("network_id")).alias("network"), time_key(F.col("time_id")).alias("time"), *values, *alike)
     cols = ["domain", "network", "time", *[f"f{i}" for i in range(len(features))], *[f"s{i}" for i in range(len(alike))]]
     s = s.groupBy("state_id").agg(*[F.max(c).alias(c) for c in cols])
-    c = with_domain(catalog.where(F.col("feature_group").isin(*groups)), domains).groupBy("domain").agg(F.collect_set(F.concat_ws(".", "feature_group", "feature_name")).alias("listed"))
+    c = with_domain(catalog.where(F.col("feature_group").isin(*groups)).select("domain_id", "feature_group", "feature_name"), domains).groupBy("domain").agg(F.collect_set(F.concat_ws(".", "feature_group", "feature_name")).alias("listed"))
     return s.join(c, "domain", "left")
 
 

@@ -26,7 +26,7 @@ CELL = "struct<version timestamp, value double, least double, most double, reada
 def _catalog(catalog: DataFrame, domains: DataFrame) -> DataFrame:
     full = F.concat_ws(".", "feature_group", "feature_name")
     short = F.concat_ws(".", F.regexp_replace("feature_group", "_features$", ""), "feature_name")
-    c = with_domain(catalog, domains).where(F.col("domain").isNotNull())
+    c = with_domain(catalog.select("domain_id", "feature_group", "feature_name", "value_type", "unit"), domains).where(F.col("domain").isNotNull())
     c = c.select("domain", F.explode(F.array(name_key(full), name_key(short))).alias("attr_key"), full.alias("feature"), "value_type", "unit")
     return c.groupBy("domain", "attr_key").agg(*[F.min(x).alias(x) for x in ("feature", "value_type", "unit")])
 
@@ -36,8 +36,8 @@ def cells(rows: DataFrame, catalog: DataFrame, domains: DataFrame, batch: Column
     of the entity's domain count under a null feature, so their entity isn't lost; rows without
     ``entity_id`` name no entity and are left out. ``batch`` defaults to the day of ``loaded_at``."""
     batch = F.to_date("loaded_at") if batch is None else batch
-    r = with_domain(rows.where(F.col("entity_id").isNotNull()), domains)
-    r = r.select("entity_id", "domain", name_key(F.col("attr_name")).alias("attr_key"), "raw_value", F.col("loaded_at").cast("timestamp").alias("version"), batch.alias("batch"))
+    r = rows.where(F.col("entity_id").isNotNull()).select("entity_id", "domain_id", "attr_name", "raw_value", F.col("loaded_at").cast("timestamp").alias("version"), batch.alias("batch"))
+    r = with_domain(r, domains).select("entity_id", "domain", name_key(F.col("attr_name")).alias("attr_key"), "raw_value", "version", "batch")
     r = r.join(_catalog(catalog, domains), ["domain", "attr_key"], "left")
     r = r.withColumn("value", F.when(F.col("feature").isNotNull(), read_typed(F.col("raw_value"), F.col("value_type"), F.col("unit"))))
     latest = F.max(F.when(F.col("value").isNotNull(), F.struct("version", "value")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import fill, profile, widen
 from ..sources import table
+from . import problem_sql
 
 NUMERIC = ["beta", "Gamma", "lambda_R"]
 
@@ -24,6 +25,12 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     return _profile(spark, d)
 
 
+def p2_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of the profile that are exact counts and values."""
+    p = _profile(spark, d)
+    return p.select("load_id", "column_name", p["rows"].alias("n_rows"), "nulls", p["distinct"].alias("n_distinct"), "least", "most")
+
+
 def p2_drift(spark: SparkSession, d: str) -> DataFrame:
     return profile.drift(_profile(spark, d))
 
@@ -52,5 +59,5 @@ def p5_wide(spark: SparkSession, d: str) -> DataFrame:
     return widen.wide(_compacted(spark, d), widen.feature_types(table(spark, d, "feature_catalog")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_drift, p4_found, p4_fills, p5_found, p5_wide)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_exact, p2_drift, p4_found, p4_fills, p5_found, p5_wide)}
+SQL = {"p2_found": problem_sql.P2_FOUND, "p2_exact": problem_sql.P2_EXACT, "p4_found": problem_sql.P4_FOUND, "p5_found": problem_sql.P5_FOUND}

@@ -1,0 +1,21 @@
+"""Row-wise operators over streams. They keep no state, so they need no watermark."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+
+from ..operators import features, policy
+from ..operators.trigger import RiskTrigger
+from ..schemas import IDS
+
+
+def decisions(states: DataFrame, trigger: RiskTrigger) -> DataFrame:
+    """The decision for each arriving state."""
+    return policy.decide(states, trigger)
+
+
+def flattened(states: DataFrame, ids: Sequence[str] = IDS) -> DataFrame:
+    """The features of each arriving state, as rows."""
+    return features.flatten_long(states, ids)

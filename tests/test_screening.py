@@ -1,0 +1,86 @@
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from decistrata.operators import features, oracle, policy, validation
+from decistrata.operators.trigger import AnyTrigger, ThresholdTrigger
+from decistrata.schemas import DECISION_STATE, FORBIDDEN_INPUT_FIELDS, ORACLE_LABEL
+from decistrata import streaming
+
+REQUIRED = {"domain_id", "network_id", "time_id", "beta", "Gamma", "lambda_R", "demand_features", "inventory_features", "network_features", "cost_features"}
+SCHEMA = "domain_id string, network_id string, time_id string, beta double, Gamma double, lambda_R double, demand_features map<string,double>, inventory_features map<string,double>, network_features map<string,double>, cost_features map<string,double>"
+STATE = ("d", "n", "t", 0.5, 2.0, 1.0, {"mean": 1.0, "cv": 2.0}, {}, {"nodes": 3.0}, None)
+FLAT = [("beta", 0.5), ("Gamma", 2.0), ("lambda_R", 1.0), ("demand_features.mean", 1.0), ("demand_features.cv", 2.0), ("network_features.nodes", 3.0)]
+
+
+def test_state_fields():
+    assert validation.field_names() == REQUIRED
+    assert REQUIRED.isdisjoint(FORBIDDEN_INPUT_FIELDS)
+    assert not validation.has_post_solve_leakage()
+    assert set(ORACLE_LABEL.fieldNames()).isdisjoint(FORBIDDEN_INPUT_FIELDS)
+
+
+@pytest.mark.parametrize("name", sorted(FORBIDDEN_INPUT_FIELDS))
+def test_leakage(name):
+    assert validation.has_post_solve_leakage(T.StructType([*DECISION_STATE.fields, T.StructField(name, T.DoubleType())]))
+    assert not validation.has_post_solve_leakage(T.StructType([T.StructField(name.swapcase(), T.DoubleType())]))
+
+
+def test_strict_leakage(spark):
+    leak = (*STATE[:6], {"RI": 1.0}, None, {}, None)
+    assert validation.strict_leakage(spark.createDataFrame([STATE, leak], SCHEMA)).count() == 1
+
+
+def test_flatten_golden(spark):
+    df = spark.createDataFrame([STATE], SCHEMA)
+    rows = features.flatten_long(df).orderBy("pos").collect()
+    assert [(r["feature_name"], r["feature_value"]) for r in rows] == FLAT
+    assert features.flatten_map(df).first()["features"] == dict(FLAT)
+    wide = features.flatten_wide(df, ["beta", "demand_features.cv", "cost_features.x"]).first()
+    assert (wide["beta"], wide["demand_features__cv"], wide["cost_features__x"]) == (0.5, 2.0, None)
+
+
+def test_flatten_nulls_and_repeats(spark):
+    empty = (None, None, None, None, None, None, None, None, None, {"x": None})
+    rows = features.flatten_long(spark.createDataFrame([empty, empty], SCHEMA)).collect()
+    assert len(rows) == 8 and all(r["feature_value"] is None for r in rows)
+    assert features.flatten_long(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert features.decision_states(spark.createDataFrame([empty], SCHEMA)).first()["demand_features"] == {}
+
+
+def test_triggers(spark):
+    df = spark.createDataFrame([STATE, (*STATE[:4], None, *STATE[5:])], SCHEMA)
+    got = policy.decide(df, ThresholdTrigger("Gamma", 2.0)).collect()
+    assert [r["invoke_oracle"] for r in got] == [True, False]
+    assert [r["decision"] for r in got] == ["invoke_oracle", "retain_incumbent"]
+    both = AnyTrigger(ThresholdTrigger("Gamma", 99.0), ThresholdTrigger("demand_features.cv", 2.0, above=False))
+    assert [r[0] for r in both.apply(df).select("invoke_oracle").collect()] == [True, True]
+    assert not AnyTrigger().apply(df).where("invoke_oracle").count()
+
+
+def test_no_oracle(spark):
+    with pytest.raises(NotImplementedError):
+        policy.solve_picked(spark.createDataFrame([STATE], SCHEMA), ThresholdTrigger("Gamma", 2.0))
+
+
+def test_provenance(spark):
+    r = oracle.OracleProvenance().to_df(spark).first()
+    assert r["commit_sha"] == "51aebd06edf8f5d6d124d0f3eebdbb901e63274f" and r["frozen"] is True
+    assert oracle.OracleProvenance(commit_sha="x", frozen=False).to_df(spark).first()["commit_sha"] == "x"
+
+
+def test_compare_uses_one_scan(spark):
+    df = spark.createDataFrame([(*STATE, True), (*STATE[:4], 9.0, *STATE[5:], False)], SCHEMA + ", y boolean")
+    got = {r["policy"]: r["balanced_accuracy"] for r in policy.compare(df, {"low": ThresholdTrigger("Gamma", 5.0, above=False), "high": ThresholdTrigger("Gamma", 5.0)}, "y").collect()}
+    assert got == {"low": 1.0, "high": 0.0}
+
+
+def test_stream(spark, tmp_path):
+    spark.createDataFrame([STATE], SCHEMA).write.parquet(str(tmp_path / "in"))
+    states = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    q = streaming.decisions(states, ThresholdTrigger("Gamma", 2.0)).writeStream.format("memory").queryName("decided").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert spark.table("decided").first()["invoke_oracle"] is True
+    q = streaming.flattened(states).writeStream.format("memory").queryName("flat").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert spark.table("flat").where(F.col("feature_value").isNotNull()).count() == 6
