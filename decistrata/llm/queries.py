@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.problem_sql import DOMAINS, domain_key, network_key
 from ..sources import table
 from . import leakage, reading, sampling, splits, tokens
 
@@ -56,4 +57,22 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_report, p3_sample, p6_ids, p7_found, p8_found, p8_profile)}
-SQL: dict[str, str] = {}
+_P1 = f"""WITH RECURSIVE {DOMAINS},
+w AS (SELECT DISTINCT domain, network_id, domain || '|' || {network_key('network_id')} AS node FROM decision_states JOIN dom ON dk = {domain_key('domain_id')} WHERE {network_key('network_id')} IS NOT NULL),
+l AS (SELECT domain || '|' || {network_key('network_id')} AS a, domain || '|' || {network_key('related_network_id')} AS b FROM network_links JOIN dom ON dk = {domain_key('domain_id')}
+      WHERE lower(trim(relation)) IN ('derived_from', 'renamed_to', 'merged_into', 'split_from')),
+e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b),
+reach(a, b) AS (SELECT a, a FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+root AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
+n AS (SELECT domain, network_id, coalesce(root, node) AS entity FROM w LEFT JOIN root ON a = node)
+SELECT x.domain AS domain_id, x.network_id AS network_id_a, y.network_id AS network_id_b FROM n x JOIN n y ON x.entity = y.entity AND x.network_id < y.network_id"""
+
+_P3 = f"""WITH {DOMAINS},
+s AS (SELECT DISTINCT state_id, domain FROM decision_states JOIN dom ON dk = {domain_key('domain_id')}),
+y AS (SELECT DISTINCT state_id, material_reconfiguration AS m FROM oracle_labels WHERE material_reconfiguration IS NOT NULL),
+n AS (SELECT domain, m, count(*) AS available FROM s JOIN y USING (state_id) GROUP BY ALL)
+SELECT t.request_id, t.domain_id, t.material_reconfiguration::VARCHAR AS material_reconfiguration
+FROM sample_targets t JOIN sample_requests r USING (request_id) LEFT JOIN n ON n.domain = t.domain_id AND n.m = t.material_reconfiguration
+WHERE coalesce(available, 0) < greatest(round(target_share * sample_rows, 6), min_rows)"""
+
+SQL = {"p1_found": _P1, "p3_found": _P3}
