@@ -34,9 +34,9 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Search:
     window: int = 8  #: words of a window, a power of two; passages are some 5 to 10 windows long
-    stride: int = 2  #: of document windows; passages have a window at every word
+    stride: int = 1  #: of document windows; at 1 no unbroken run of ``window`` shared words is missed
     radius: int = 3  #: bits
-    share: float = 0.45  #: weighted share of a passage's word pairs from which it counts as held
+    share: float = 0.41  #: weighted share of a passage's word pairs from which it counts as held
     block: int = 4000  #: passages of a pass over the documents
     words: int = 150_000  #: words of documents that are worked on at once
 
