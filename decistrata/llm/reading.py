@@ -24,10 +24,36 @@ from pyspark.sql import functions as F
 
 from .text import plain
 
-_TOKEN = regex.compile(r"\p{Han}|[^\W\d_\p{Han}]+|\d+|[.!?;:,\n。！？；：，、]")
-_TOKEN_ASCII = re.compile(r"[a-z]+|[0-9]+|[.!?;:,\n]")
-_ENDS = frozenset(".!?;。！？；")
-_LINKS = frozenset(",:，：、")
+_BULLET = r"^[ \t]*[-*•·–]"  # an item of a list starts a sentence
+_TOKEN = regex.compile(rf"(?m:{_BULLET})|\p{{Han}}|[^\W\d_\p{{Han}}]+|\d+|[.!?;:,\n。！？；：，、]")
+_TOKEN_ASCII = re.compile(r"(?m:^[ \t]*[-*])|[a-z]+|[0-9]+|[.!?;:,\n]")
+_LINE, _END, _LINK, _ITEM, _NUMBER, _HAN, _WORD = range(7)
+
+
+class _Kinds(dict):
+    """Token to its kind, remembered."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        c = token[0]
+        if c == "\n":
+            kind = _LINE
+        elif c in ".!?;。！？；":
+            kind = _END
+        elif c in ",:，：、":
+            kind = _LINK
+        elif c.isdigit():
+            kind = _NUMBER
+        elif "㐀" <= c <= "鿿" or "\U00020000" <= c <= "\U0003ffff" or "豈" <= c <= "\ufaff":
+            kind = _HAN
+        else:
+            kind = _WORD if c.isalpha() else _ITEM
+        self[token] = kind
+        return kind
+
+
+_KINDS = _Kinds()
 SYNTAX = ("word length", "long words", "sentence length", "links", "numbers")
 
 
@@ -35,7 +61,9 @@ SYNTAX = ("word length", "long words", "sentence length", "links", "numbers")
 class Setup:
     documents: int = 4000  #: graded documents that the ranker is fitted on, at most
     vocabulary: int = 12000  #: words with a weight of their own, the most widespread of those documents
-    reach: int = 10  #: words on each side that a passage's score takes in
+    reach: int = 15  #: words on each side that a passage's score takes in,
+    mix: float = 0.5  #: besides, by this part, the words of the same sentence
+    long: int = 40  #: a sentence has one vote; a longer one one for each so many words
     steps: int = 220
     pairs: int = 12  #: pairs for each document
     decay: float = 2e-4
@@ -53,68 +81,48 @@ class Parsed:
 
     words: list[str]
     syntax: np.ndarray  # tokens x len(SYNTAX)
+    sentence: np.ndarray  # number of each token's sentence
     latin: int
     han: int
 
 
 def parse(text: str, setup: Setup) -> Parsed:
-    """Lines that are no prose (logs, tables, keys) are left out; wrapped lines make one sentence."""
+    """Lines that are no prose (logs, tables, keys) are left out; wrapped lines make one sentence.
+    A sentence ends at its sign, an empty or left-out line, or the next item of a list."""
     p = plain(text)
-    ascii_only = p.isascii()
-    words: list[str] = []
-    rows: list[tuple[float, float, float]] = []
-    sentence = 0
-    lengths: list[int] = []  # of each sentence
-    of: list[int] = []
-    links: list[int] = [0]
-    latin = han = 0
-    for line in p.split("\n"):
-        tokens = (_TOKEN_ASCII if ascii_only else _TOKEN).findall(line)
-        solid = [t for t in tokens if t[0].isalnum()]
-        alpha = sum(1 for t in solid if not t[0].isdigit())
-        if not solid:
-            if words and of and of[-1] == sentence:  # an empty line ends a sentence
-                sentence += 1
-                links.append(0)
-            continue
-        if alpha < setup.prose * len(solid):
-            continue
-        before = ""
-        for t in tokens:
-            if t in _ENDS:
-                if of and of[-1] == sentence:
-                    sentence += 1
-                    links.append(0)
-                before = ""
-            elif t in _LINKS:
-                links[sentence] += 1
-                before = ""
-            elif t[0].isdigit():
-                words.append("0")
-                rows.append((0.0, 0.0, 1.0))
-                of.append(sentence)
-            else:
-                chinese = "㐀" <= t[0] <= "鿿" or "\U00020000" <= t[0] <= "\U0003ffff"
-                if chinese:
-                    han += 1
-                    words.append(before + t if before else t)
-                    before = t
-                    rows.append((0.0, 0.0, 0.0))
-                else:
-                    latin += 1
-                    before = ""
-                    words.append(t)
-                    rows.append((min(len(t), 20) / 10.0, 1.0 if len(t) > 7 else 0.0, 0.0))
-                of.append(sentence)
-    if not words:
-        return Parsed([], np.empty((0, len(SYNTAX)), np.float32), 0, 0)
-    own = np.array(of)
-    lengths_ = np.bincount(own, minlength=len(links)).astype(np.float32)
-    r = np.array(rows, dtype=np.float32)
-    size = lengths_[own]
-    link = np.array(links, dtype=np.float32)[own] / np.maximum(size, 1)
-    syntax = np.stack([r[:, 0], r[:, 1], np.log1p(np.minimum(size, 80)) / 4, link * 5, r[:, 2]], axis=1)
-    return Parsed(words, syntax.astype(np.float32), latin, han)
+    tokens = (_TOKEN_ASCII if p.isascii() else _TOKEN).findall(p)
+    kind = np.fromiter(map(_KINDS.__getitem__, tokens), dtype=np.int8, count=len(tokens))
+    new_line = kind == _LINE
+    line = np.cumsum(new_line) - new_line  # a line's end belongs to it
+    solid = np.bincount(line, weights=kind >= _NUMBER)
+    alpha = np.bincount(line, weights=kind >= _HAN)
+    prose = (solid > 0) & (alpha >= setup.prose * solid)
+    inside = prose[line] if len(line) else np.zeros(0, dtype=bool)
+    breaks = (kind == _END) | (kind == _ITEM) | (new_line & ~inside)
+    spot = np.cumsum(breaks)
+    here = np.flatnonzero(inside & (kind >= _NUMBER))
+    if not len(here):
+        return Parsed([], np.empty((0, len(SYNTAX)), np.float32), np.empty(0, np.int64), 0, 0)
+    k = kind[here]
+    _, own = np.unique(spot[here], return_inverse=True)
+    first = np.searchsorted(spot[here], np.arange(spot[-1] + 2))  # where a spot's words start
+    size = np.bincount(own)
+    link = inside & (kind == _LINK)
+    links = np.zeros(len(size))
+    at = first[spot[link]]
+    fine = at < len(here)
+    np.add.at(links, own[at[fine]], 1.0)
+    words = np.array(tokens, dtype=object)[here]
+    length = np.fromiter(map(len, words), dtype=np.float32, count=len(words))
+    latin = k == _WORD
+    words[k == _NUMBER] = "0"
+    han = k == _HAN
+    if han.any():  # a character and the one before it
+        pair = np.flatnonzero(han[1:] & han[:-1] & (np.diff(here) == 1)) + 1
+        words[pair] = words[pair - 1] + words[pair]
+    mine = size[own]
+    syntax = np.stack([np.where(latin, np.minimum(length, 20) / 10, 0), latin & (length > 7), np.log1p(np.minimum(mine, 80)) / 4, (links / size)[own] * 5, k == _NUMBER], axis=1)
+    return Parsed(words.tolist(), syntax.astype(np.float32), own, int(latin.sum()), int(han.sum()))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,29 +146,46 @@ def _cuts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([starts[np.searchsorted(values, t)] if values[-1] >= t else np.inf for t in (1.5, 2.5, 3.5)])
 
 
+class Weights(dict):
+    """Word to weight; words without one share ``unknown``."""
+
+    unknown = 0.0
+
+    def __missing__(self, word: str) -> float:
+        return self.unknown
+
+
 @dataclass
 class Model:
-    weights: dict[str, float]
-    unknown: float
+    weights: Weights
     syntax: np.ndarray
     cuts: np.ndarray  # by script (Latin, Han): passage scores from which the level is 2, 3 and 4
     setup: Setup
 
     def local(self, p: Parsed) -> np.ndarray:
         """Score of the passage around each word."""
-        get, u = self.weights.get, self.unknown
-        s = np.fromiter((get(w, u) for w in p.words), dtype=np.float64, count=len(p.words)) + p.syntax @ self.syntax
-        return smooth(s, self.setup.reach)
+        s = np.fromiter(map(self.weights.__getitem__, p.words), dtype=np.float64, count=len(p.words)) + p.syntax @ self.syntax
+        return passage(s, p.sentence, self.setup)
 
     def level(self, text: str) -> int | None:
-        """1 to 4, or None for a text without enough running prose."""
+        """1 to 4, or None for a text without enough running prose. Every sentence has a vote, split over
+        its words by the level of the passage around each; a tie goes to the lower level."""
         p = parse(text, self.setup)
         if p.latin < self.setup.words and p.han < self.setup.han:
             return None
-        votes = np.bincount(np.searchsorted(self.cuts[int(p.han > p.latin)], self.local(p), side="right"), minlength=4)
+        levels = np.searchsorted(self.cuts[int(p.han > p.latin)], self.local(p), side="right")
+        size = np.bincount(p.sentence)[p.sentence]
+        votes = np.bincount(levels, weights=1.0 / np.minimum(size, self.setup.long), minlength=4)
         return int(votes.argmax()) + 1
 
 
+def passage(s: np.ndarray, sentence: np.ndarray, setup: Setup) -> np.ndarray:
+    """Mean of the score of the words around and of that of the word's sentence."""
+    around = smooth(s, setup.reach)
+    own = np.bincount(sentence, weights=s) / np.maximum(np.bincount(sentence), 1)
+    return (1 - setup.mix) * around + setup.mix * own[sentence]
+
+
 def smooth(s: np.ndarray, reach: int) -> np.ndarray:
     c = np.concatenate([[0.0], np.cumsum(s)])
     i = np.arange(len(s))
@@ -182,7 +207,7 @@ def fit(graded: list[tuple[str, float]], setup: Setup = Setup()) -> Model:
     y = np.array([v for _, v in docs])
     n, m = len(docs), len(kept)
     if n < 2 or len(set(y.tolist())) < 2:
-        return Model({}, 0.0, np.zeros(len(SYNTAX)), np.array([[-np.inf, np.inf, np.inf]] * 2), setup)
+        return Model(Weights(), np.zeros(len(SYNTAX)), np.array([[-np.inf, np.inf, np.inf]] * 2), setup)
     ids = [np.fromiter((index.get(w, m) for w in p.words), dtype=np.int64, count=len(p.words)) for p, _ in docs]
     #: documents of a language are compared with each other
     language = np.array([int(p.han > p.latin) for p, _ in docs])
@@ -219,7 +244,7 @@ def fit(graded: list[tuple[str, float]], setup: Setup = Setup()) -> Model:
                 mx += 0.1 * (gx - mx)
                 sx += 0.001 * (gx * gx - sx)
                 x -= setup.rate * (mx / (1 - 0.9**step)) / (np.sqrt(sx / (1 - 0.999**step)) + 1e-8)
-        scores = [smooth(w[i] + p.syntax @ v, setup.reach) for i, (p, _) in zip(ids, docs, strict=True)]
+        scores = [passage(w[i] + p.syntax @ v, p.sentence, setup) for i, (p, _) in zip(ids, docs, strict=True)]
         part = [np.flatnonzero(k)[:: max(1, k.sum() // 24)] for k in keep]
         xs = np.concatenate([s[q] for s, q in zip(scores, part, strict=True)])
         ys = np.concatenate([np.full(len(q), t) for q, t in zip(part, y, strict=True)])
@@ -228,7 +253,9 @@ def fit(graded: list[tuple[str, float]], setup: Setup = Setup()) -> Model:
         # the second fit leaves out passages that are plainly of another level than their document
         keep = [(np.abs(np.searchsorted(cuts[g], s, side="right") + 1 - t) <= 0.75) for s, t, g in zip(scores, y, language, strict=True)]
         keep = [k if k.mean() > 0.3 else np.ones(len(k), dtype=bool) for k in keep]
-    return Model({x: float(w[i]) for x, i in index.items()}, float(w[m]), v, cuts, setup)
+    weights = Weights({x: float(w[i]) for x, i in index.items()})
+    weights.unknown = float(w[m])
+    return Model(weights, v, cuts, setup)
 
 
 def grades(documents: DataFrame, levels: DataFrame, setup: Setup = Setup()) -> list[tuple[str, float]]:
