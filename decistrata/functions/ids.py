@@ -22,7 +22,8 @@ def narrow(c: Column) -> Column:
 
 def name_key(c: Column) -> Column:
     """Case, blanks and punctuation don't count: ``Grocer South`` = ``grocer_south``. Null stays null."""
-    return F.regexp_replace(F.lower(narrow(c)), r"[^\p{L}\p{N}]+", "")
+    usual = c.rlike(r"^[a-z0-9_.]+$")  # most names need no look at single characters
+    return F.when(usual, F.translate(c, "_.", "")).otherwise(F.regexp_replace(F.lower(narrow(c)), r"[^\p{L}\p{N}]+", ""))
 
 
 def network_key(c: Column) -> Column:
@@ -31,11 +32,12 @@ def network_key(c: Column) -> Column:
     A name is ``NW``, a number and two letters with any punctuation between; words or a domain may
     precede it. Leading zeros mean nothing, and a letter O within the number is a zero.
     """
-    up = F.upper(narrow(c))
+    usual = c.rlike(r"^NW-[0-9]+-[A-Z]{2}$")
+    up = F.when(usual, c).otherwise(F.upper(narrow(c)))
     digits = F.translate(F.regexp_extract(up, NETWORK_PATTERN, 1), "O", "0")
     letters = F.regexp_extract(up, NETWORK_PATTERN, 2)
     number = F.regexp_replace(digits, r"^0+(?=[0-9])", "")
-    return F.when(letters != "", F.concat(number, F.lit("-"), letters))
+    return F.when(usual, F.regexp_replace(F.substring(c, 4, 1_000_000), r"^0+(?=[0-9])", "")).otherwise(F.when(letters != "", F.concat(number, F.lit("-"), letters)))
 
 
 def with_domain(df: DataFrame, domains: DataFrame, column: str = "domain_id", to: str = "domain") -> DataFrame:
@@ -53,4 +55,4 @@ def time_key(c: Column) -> Column:
     s = F.upper(narrow(c))
     y = F.regexp_extract(s, r"([0-9]{4})", 1)
     w = F.regexp_extract(s, r"W\s*([0-9]{1,2})(?![0-9])", 1)
-    return F.when((y != "") & (w != ""), F.concat(y, F.lit("-W"), F.lpad(w, 2, "0")))
+    return F.when(c.rlike(r"^[0-9]{4}-W[0-9]{2}$"), c).otherwise(F.when((y != "") & (w != ""), F.concat(y, F.lit("-W"), F.lpad(w, 2, "0"))))

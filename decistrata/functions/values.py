@@ -61,9 +61,14 @@ def read_boolean(tidied: Column) -> Column:
 
 def read_typed(raw: Column, value_type: Column, unit: Column) -> Column:
     """The value as double by ``value_type``: ``double``, ``long`` (whole numbers only) or ``boolean``."""
+    def whole(v: Column) -> Column:
+        return F.when((v == F.floor(v)) & (F.abs(v) < 2.0**53), v)
+
     def typed(s: Column) -> Column:
         number = read_number(s, unit)
-        whole = let(number, lambda v: F.when((v == F.floor(v)) & (F.abs(v) < 2.0**53), v))
-        return F.when(value_type == "boolean", read_boolean(s)).when(value_type == "long", whole).otherwise(number)
+        return F.when(value_type == "boolean", read_boolean(s)).when(value_type == "long", let(number, whole)).otherwise(number)
 
-    return let(tidy(raw), typed)
+    # most values are plain numbers, which need no tidying
+    usual = (value_type != "boolean") & raw.rlike(r"^-?[0-9]{1,300}(\.[0-9]+)?$")
+    plain = raw.try_cast("double")
+    return F.when(usual, F.when(value_type == "long", whole(plain)).otherwise(plain)).otherwise(let(tidy(raw), typed))
