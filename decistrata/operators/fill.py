@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import network_key, time_key, with_domain
+from ..functions.values import let
 from ..sources import durable
 
 #: Codes that stand for "no measurement". Fixed values.
@@ -35,7 +36,7 @@ class Spread:
     network_weight: float = 3.0
     time_weight: float = 1.0
     signed: float = 0.001  #: share of a feature's values below zero (codes and -1 aside) that shows it may be negative
-    similarity: tuple[tuple[str, str], ...] = (("nodes", "arcs"), ("nodes", "hub_share"), ("arcs", "hub_share"))
+    structure: tuple[str, ...] = ("nodes", "arcs", "hub_share")  #: of ``network_features``; states are alike that share two
 
 
 def plausible(v: Column, signed: Column | bool) -> Column:
@@ -61,22 +62,36 @@ def catalog_features(catalog: DataFrame, groups: Sequence[str]) -> list[tuple[st
     return sorted((r[0], r[1]) for r in catalog.where(F.col("feature_group").isin(*groups)).select("feature_group", "feature_name").distinct().collect())
 
 
+def network_code(key: Column) -> Column:
+    """A canonical network name as one number, which aggregates and joins as such. A name whose number
+    has more than 15 digits gets a code below zero: it is known, but can't be supplied to others."""
+    number, letters = F.substring_index(key, "-", 1), F.substring_index(key, "-", -1)
+    code = number.try_cast("bigint") * 676 + (F.ascii(letters) - 65) * 26 + F.ascii(F.substring(letters, 2, 1)) - 65
+    return F.when(F.length(number) <= 15, code).when(key.isNotNull(), -F.shiftrightunsigned(F.xxhash64(key), 1) - 1)
+
+
+def network_name(code: Column) -> Column:
+    letter = lambda i: F.char(F.lit(65) + i)
+    return F.when(code >= 0, F.concat(F.floor(code / 676).cast("string"), F.lit("-"), letter(F.floor(F.pmod(code, F.lit(676)) / 26)), letter(F.pmod(code, F.lit(26)))))
+
+
 def tidy_states(states: DataFrame, catalog: DataFrame, domains: DataFrame, groups: Sequence[str] = ("demand_features", "inventory_features"), spread: Spread = Spread()) -> DataFrame:
-    """One row per ``state_id``: ``domain, network, time, listed`` (features the catalog lists for the
-    domain), ``f0..`` (usable values, null if none) and ``s0..`` (similarity values). A value counts as
-    held if any delivery of the state has it. Rows without ``state_id`` name no state and are left out."""
+    """One row per ``state_id``: ``domain, network, time`` as numbers, ``listed`` (features the catalog
+    lists for the domain), ``f0..`` (usable values, null if none) and ``s0..`` (structural values). A value
+    counts as held if any delivery of the state has it. Rows without ``state_id`` name no state and are
+    left out. All that is aggregated is a number, so it is hashed and not sorted."""
     features = catalog_features(catalog, groups)
     signed = signed_features(states, features, spread)
     s = with_domain(states.where(F.col("state_id").isNotNull()).select("state_id", "domain_id", "network_id", "time_id", *dict.fromkeys([*groups, "network_features"])), domains)
     values = [plausible(F.col(g)[n], f"{g}.{n}" in signed).alias(f"f{i}") for i, (g, n) in enumerate(features)]
-    alike = []
-    for i, (a, b) in enumerate(spread.similarity):
-        va, vb = (plausible(F.col("network_features")[x], False) for x in (a, b))
-        alike.append(F.when(va.isNotNull() & vb.isNotNull(), F.concat_ws("|", F.lit(str(i)), va.cast("string"), vb.cast("string"))).alias(f"s{i}"))
-    s = s.select("state_id", "domain", network_key(F.col("network_id")).alias("network"), time_key(F.col("time_id")).alias("time"), *values, *alike)
+    alike = [plausible(F.col("network_features")[x], False).alias(f"s{i}") for i, x in enumerate(spread.structure)]
+    week = let(time_key(F.col("time_id")), lambda t: F.substring(t, 1, 4).cast("int") * 100 + F.substring(t, 7, 2).cast("int"))
+    number = F.when(F.col("domain").isNotNull(), F.xxhash64("domain"))
+    s = s.select("state_id", number.alias("domain"), let(network_key(F.col("network_id")), network_code).alias("network"), week.alias("time"), *values, *alike)
     cols = ["domain", "network", "time", *[f"f{i}" for i in range(len(features))], *[f"s{i}" for i in range(len(alike))]]
     s = s.groupBy("state_id").agg(*[F.max(c).alias(c) for c in cols])
-    c = with_domain(catalog.where(F.col("feature_group").isin(*groups)).select("domain_id", "feature_group", "feature_name"), domains).groupBy("domain").agg(F.collect_set(F.concat_ws(".", "feature_group", "feature_name")).alias("listed"))
+    c = with_domain(catalog.where(F.col("feature_group").isin(*groups)).select("domain_id", "feature_group", "feature_name"), domains).where(F.col("domain").isNotNull())
+    c = c.groupBy(F.xxhash64("domain").alias("domain")).agg(F.collect_set(F.concat_ws(".", "feature_group", "feature_name")).alias("listed"))
     return s.join(c, "domain", "left")
 
 
@@ -86,16 +101,17 @@ def missing_fields(features: Sequence[tuple[str, str]]) -> Column:
     return F.array_compact(F.array(F.when(F.col("network").isNull(), F.lit("network_id")), *lacking))
 
 
-def _salted(left: DataFrame, small: DataFrame, keys: list[str], salts: int) -> DataFrame:
-    """Left join to sums that are unique by ``keys``; the rows of a hot key go to ``salts`` tasks."""
+def _salted(left: DataFrame, small: DataFrame, keys: list[str], salts: int, how: str = "left") -> DataFrame:
+    """Join to a small table; the rows of a hot key go to ``salts`` tasks."""
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", F.pmod(F.xxhash64("state_id"), F.lit(salts)).cast("int")).join(right, [*keys, "_salt"], "left").drop("_salt")
+    return left.withColumn("_salt", F.pmod(F.xxhash64("state_id"), F.lit(salts)).cast("int")).join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def fill_networks(tidied: DataFrame, spread: Spread = Spread()) -> DataFrame:
     """``state_id, network, score`` for states without a network whose likeness to others tells one;
-    ties go to the smaller name. Score is the label's weight in the state's final distribution."""
-    keys = F.array_compact(F.array(*[F.col(f"s{i}") for i in range(len(spread.similarity))]))
+    ties go to the smaller code. Score is the label's weight in the state's final distribution."""
+    pairs = [(i, j) for i in range(len(spread.structure)) for j in range(i)]
+    keys = F.array_compact(F.array(*[F.when(F.col(f"s{i}").isNotNull() & F.col(f"s{j}").isNotNull(), F.xxhash64(F.lit(i), F.lit(j), f"s{i}", f"s{j}")) for i, j in pairs]))
     edges = tidied.select("state_id", "domain", "network", F.explode(keys).alias("node"))
     clamped = durable(edges.where(F.col("network").isNotNull()).groupBy("domain", "node", "network").agg(F.count(F.lit(1)).cast("double").alias("w")))
     open_ = durable(edges.where(F.col("network").isNull()).select("state_id", "domain", "node"))
@@ -104,7 +120,7 @@ def fill_networks(tidied: DataFrame, spread: Spread = Spread()) -> DataFrame:
     for _ in range(max(1, spread.rounds - 1)):
         total = now.groupBy("domain", "node").agg(F.sum("w").alias("t"))
         dist = now.join(total, ["domain", "node"]).select("domain", "node", "network", (F.col("w") / F.col("t")).alias("p"))
-        votes = open_.join(dist, ["domain", "node"]).groupBy("state_id", "network").agg(F.sum("p").alias("p"))
+        votes = _salted(open_, dist, ["domain", "node"], spread.salts, "inner").groupBy("state_id", "network").agg(F.sum("p").alias("p"))
         mass = votes.groupBy("state_id").agg(F.sum("p").alias("m"))
         found = votes.join(mass, "state_id").select("state_id", "network", (F.col("p") / F.col("m")).alias("p"))
         back = open_.join(found, "state_id").groupBy("domain", "node", "network").agg(F.sum("p").alias("w"))
@@ -163,6 +179,6 @@ def fill(states: DataFrame, catalog: DataFrame, domains: DataFrame, groups: Sequ
     values = F.create_map(*[x for i, (g, m) in enumerate(features) for x in (F.lit(f"{g}.{m}"), F.col(f"x{i}"))]) if n else F.lit(None).cast("map<string,double>")
     out = current.select("state_id", F.explode("missing").alias("field"), values.alias("v"), "guess", "score")
     is_net = F.col("field") == "network_id"
-    out = out.select("state_id", "field", F.when(~is_net, F.col("v")[F.col("field")]).alias("value"), F.when(is_net, F.col("guess")).alias("label"), F.when(is_net, F.col("score")).alias("score"))
+    out = out.select("state_id", "field", F.when(~is_net, F.col("v")[F.col("field")]).alias("value"), F.when(is_net, network_name(F.col("guess"))).alias("label"), F.when(is_net, F.col("score")).alias("score"))
     return out.withColumn("filled", F.col("value").isNotNull() | F.col("label").isNotNull())
 
