@@ -11,6 +11,7 @@ hot entity arrives as a few rows; one further shuffle by entity serves both delt
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,15 +21,21 @@ from ..functions.ids import name_key, with_domain
 from ..functions.values import read_typed
 
 GROUPS = ("demand_features", "inventory_features", "network_features", "cost_features")
-CELL = "struct<version timestamp, value double, least double, most double, readable bigint, rows bigint>"
+CELL = "struct<version timestamp, value double, least double, most double, readable bigint>"
+
+
+def feature_key(name: Column) -> Column:
+    """What a feature is shuffled and stored by: a number that doesn't change with the catalog."""
+    return F.xxhash64(name)
 
 
 def _catalog(catalog: DataFrame, domains: DataFrame) -> DataFrame:
     full = F.concat_ws(".", "feature_group", "feature_name")
     short = F.concat_ws(".", F.regexp_replace("feature_group", "_features$", ""), "feature_name")
     c = with_domain(catalog.select("domain_id", "feature_group", "feature_name", "value_type", "unit"), domains).where(F.col("domain").isNotNull())
-    c = c.select("domain", F.explode(F.array(name_key(full), name_key(short))).alias("attr_key"), full.alias("feature"), "value_type", "unit")
-    return c.groupBy("domain", "attr_key").agg(*[F.min(x).alias(x) for x in ("feature", "value_type", "unit")])
+    c = c.select("domain", F.explode(F.array(name_key(full), name_key(short))).alias("attr_key"), full.alias("name"), "value_type", "unit")
+    c = c.groupBy("domain", "attr_key").agg(*[F.min(x).alias(x) for x in ("name", "value_type", "unit")])
+    return c.withColumn("feature", feature_key(F.col("name"))).drop("name")
 
 
 def cells(rows: DataFrame, catalog: DataFrame, domains: DataFrame, batch: Column | None = None) -> DataFrame:
@@ -40,45 +47,53 @@ def cells(rows: DataFrame, catalog: DataFrame, domains: DataFrame, batch: Column
     r = with_domain(r, domains).select("entity_id", "domain", name_key(F.col("attr_name")).alias("attr_key"), "raw_value", "version", "batch")
     r = r.join(_catalog(catalog, domains), ["domain", "attr_key"], "left")
     r = r.withColumn("value", F.when(F.col("feature").isNotNull(), read_typed(F.col("raw_value"), F.col("value_type"), F.col("unit"))))
-    latest = F.max(F.when(F.col("value").isNotNull(), F.struct("version", "value")))
-    return r.groupBy("entity_id", "batch", "feature").agg(
-        F.max("domain").alias("domain"), latest.alias("latest"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("readable"), F.count(F.lit(1)).alias("rows")
-    )
+    number = F.when(F.col("domain").isNotNull(), F.xxhash64("domain"))
+    r = r.select("entity_id", "batch", "feature", number.alias("domain"), F.when(F.col("value").isNotNull(), F.col("version")).alias("version"), "value")
+    return r.groupBy("entity_id", "batch", "feature").agg(F.max("domain").alias("domain"), *_merged(F.col("version"), F.col("value"), F.col("value"), F.col("value"), F.count("value")))
+
+
+def _merged(version: Column, value: Column, least: Column, most: Column, readable: Column) -> list[Column]:
+    """Aggregates of a cell, numbers all, so they are hashed and not sorted. A value without version is
+    older than any with one; of values with the same version the first by hash is the latest."""
+    order = F.coalesce(F.unix_micros(version), F.lit(-(1 << 60))).cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.pmod(F.xxhash64(value), F.lit(10**10)).cast("decimal(11,0)")
+    at = F.max(version).alias("version")
+    return [at, F.max_by(value, F.when(value.isNotNull(), order)).alias("value"), F.min(least).alias("least"), F.max(most).alias("most"), readable.alias("readable")]
 
 
-def _as_map(cell: Column) -> Column:
-    own = F.when(F.col("feature").isNotNull(), F.struct(F.col("feature"), cell))
+def _as_map() -> Column:
+    own = F.when(F.col("feature").isNotNull(), F.struct(F.col("feature"), F.struct("version", "value", "least", "most", "readable").cast(CELL)))
     return F.map_from_entries(F.collect_list(own)).alias("cells")  # at most one entry for each catalog feature
 
 
 def deltas(rows: DataFrame, catalog: DataFrame, domains: DataFrame, batch: Column | None = None) -> DataFrame:
-    """Sparse wide deltas ``entity_id, batch, domain, cells`` (map of feature to versioned cell)."""
+    """Sparse wide deltas ``entity_id, batch, domain, cells`` (map of feature key to versioned cell)."""
     c = cells(rows, catalog, domains, batch).repartition("entity_id")
-    cell = F.struct(F.col("latest.version").alias("version"), F.col("latest.value").alias("value"), "least", "most", "readable", "rows").cast(CELL)
-    return c.groupBy("entity_id", "batch").agg(F.max("domain").alias("domain"), _as_map(cell))
+    return c.groupBy("entity_id", "batch").agg(F.max("domain").alias("domain"), _as_map())
+
+
+def compact_cells(parts: DataFrame) -> DataFrame:
+    """Deltas merged cell by cell: ``entity_id, feature, domain, version, value, least, most, readable``."""
+    long = parts.select("entity_id", "domain", F.explode_outer("cells").alias("feature", "cell")).select("entity_id", "domain", "feature", "cell.*")
+    return long.groupBy("entity_id", "feature").agg(F.max("domain").alias("domain"), *_merged(F.col("version"), F.col("value"), F.col("least"), F.col("most"), F.sum("readable")))
 
 
 def compact(parts: DataFrame) -> DataFrame:
-    """Merged cells, one row per entity: ``entity_id, domain, cells``. Takes deltas or earlier results."""
-    long = parts.select("entity_id", "domain", F.explode_outer("cells").alias("feature", "cell"))
-    latest = F.max(F.when(F.col("cell.readable") > 0, F.struct("cell.version", "cell.value")))
-    merged = long.groupBy("entity_id", "feature").agg(
-        F.max("domain").alias("domain"), latest.alias("latest"), F.min("cell.least").alias("least"), F.max("cell.most").alias("most"), F.sum("cell.readable").alias("readable"), F.sum("cell.rows").alias("rows")
-    )
-    cell = F.struct(F.col("latest.version").alias("version"), F.col("latest.value").alias("value"), "least", "most", "readable", "rows").cast(CELL)
-    return merged.groupBy("entity_id").agg(F.max("domain").alias("domain"), _as_map(cell))
+    """One row per entity: ``entity_id, domain, cells``. Takes deltas or earlier results."""
+    return compact_cells(parts).groupBy("entity_id").agg(F.max("domain").alias("domain"), _as_map())
 
 
-def _clear(cell: Column) -> Column:
+def _clear(readable: Column, least: Column, most: Column) -> Column:
     """Whether all readable rows of the cell give one value, up to rounding of notations."""
-    return (cell["readable"] > 0) & (cell["most"] - cell["least"] <= F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(cell["most"])))
+    return (readable > 0) & (most - least <= F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(most)))
 
 
-def unclear_cells(compacted: DataFrame) -> DataFrame:
+def unclear_cells(parts: DataFrame, names: Iterable[str]) -> DataFrame:
     """``entity_id, feature_name, outcome`` of cells that have rows but not one clear value:
-    ``no_value`` if no row can be read as the feature's type, ``conflict`` if readable rows differ."""
-    c = compacted.select("entity_id", F.explode("cells").alias("feature_name", "cell")).where(~_clear(F.col("cell")))
-    return c.select("entity_id", "feature_name", F.when(F.col("cell.readable") == 0, "no_value").otherwise("conflict").alias("outcome"))
+    ``no_value`` if no row can be read as the feature's type, ``conflict`` if readable rows differ.
+    ``names`` are the full names of the catalog's features."""
+    c = compact_cells(parts).where(F.col("feature").isNotNull() & ~_clear(F.col("readable"), F.col("least"), F.col("most")))
+    known = parts.sparkSession.createDataFrame([(n,) for n in names], "feature_name string").withColumn("feature", feature_key(F.col("feature_name")))
+    return c.join(known, "feature").select("entity_id", "feature_name", F.when(F.col("readable") == 0, "no_value").otherwise("conflict").alias("outcome"))
 
 
 def feature_types(catalog: DataFrame) -> dict[str, str]:
@@ -93,17 +108,20 @@ def feature_types(catalog: DataFrame) -> dict[str, str]:
     return {k: "bigint" if types[k] == "long" else types[k] for k in sorted(types)}
 
 
-def wide(compacted: DataFrame, types: dict[str, str], on_conflict: str = "empty") -> DataFrame:
+def wide(compacted: DataFrame, types: dict[str, str], domains: DataFrame, on_conflict: str = "empty") -> DataFrame:
     """One row per entity, a column ``<group>__<name>`` per feature, typed.
 
     A cell without a clear value is null; with ``on_conflict="latest"`` the latest version wins.
     """
+
     def column(name: str, kind: str) -> Column:
-        cell = F.col("cells")[name]
-        value = F.when(cell["readable"] > 0, cell["value"]) if on_conflict == "latest" else F.when(_clear(cell), cell["value"])
+        cell = F.col("cells")[feature_key(F.lit(name))]
+        clear = cell["readable"] > 0 if on_conflict == "latest" else _clear(cell["readable"], cell["least"], cell["most"])
+        value = F.when(clear, cell["value"])
         return (value != 0 if kind == "boolean" else value.cast(kind)).alias(name.replace(".", "__"))
 
-    return compacted.select("entity_id", F.col("domain").alias("domain_id"), *[column(n, t) for n, t in types.items()])
+    named = domains.select(F.xxhash64("domain_id").alias("domain"), "domain_id").distinct()
+    return compacted.join(named, "domain", "left").select("entity_id", "domain_id", *[column(n, t) for n, t in types.items()])
 
 
 def merge_deltas(*parts: DataFrame) -> DataFrame:

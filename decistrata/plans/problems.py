@@ -47,16 +47,16 @@ def p4_fills(spark: SparkSession, d: str) -> DataFrame:
     return _fill(spark, d)
 
 
-def _compacted(spark: SparkSession, d: str) -> DataFrame:
-    return widen.compact(widen.deltas(table(spark, d, "feature_rows"), table(spark, d, "feature_catalog"), table(spark, d, "domains")))
+def _deltas(spark: SparkSession, d: str) -> DataFrame:
+    return widen.deltas(table(spark, d, "feature_rows"), table(spark, d, "feature_catalog"), table(spark, d, "domains"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return widen.unclear_cells(_compacted(spark, d))
+    return widen.unclear_cells(_deltas(spark, d), widen.feature_types(table(spark, d, "feature_catalog")))
 
 
 def p5_wide(spark: SparkSession, d: str) -> DataFrame:
-    return widen.wide(_compacted(spark, d), widen.feature_types(table(spark, d, "feature_catalog")))
+    return widen.wide(widen.compact(_deltas(spark, d)), widen.feature_types(table(spark, d, "feature_catalog")), table(spark, d, "domains"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_exact, p2_drift, p4_found, p4_fills, p5_found, p5_wide)}

@@ -112,15 +112,15 @@ CELLS = [
 
 def test_widen(spark, catalog, domains):
     c = widen.compact(widen.deltas(rows_of(spark, CELLS * 3), catalog, domains))
-    assert sorted(map(tuple, widen.unclear_cells(c).collect())) == [(1, "demand_features.mean_weekly", "conflict"), (2, "inventory_features.stockout_days", "no_value")]
+    assert sorted(map(tuple, widen.unclear_cells(c, widen.feature_types(catalog)).collect())) == [(1, "demand_features.mean_weekly", "conflict"), (2, "inventory_features.stockout_days", "no_value")]
     types = widen.feature_types(catalog)
-    got = {r["entity_id"]: r for r in widen.wide(c, types).collect()}
+    got = {r["entity_id"]: r for r in widen.wide(c, types, domains).collect()}
     assert set(got) == {1, 2, 3, 4}
     assert (got[1]["demand_features__cv"], got[1]["demand_features__mean_weekly"], got[1]["cost_features__fx_hedged"]) == (0.5, None, True)
     assert all(got[k][c] is None for k in (2, 3, 4) for c in got[k].asDict() if "__" in c)
-    last = {r["entity_id"]: r for r in widen.wide(c, types, "latest").collect()}
+    last = {r["entity_id"]: r for r in widen.wide(c, types, domains, "latest").collect()}
     assert last[1]["demand_features__mean_weekly"] == 13.0
-    kinds = dict(widen.wide(c, types).dtypes)
+    kinds = dict(widen.wide(c, types, domains).dtypes)
     assert (kinds["inventory_features__stockout_days"], kinds["cost_features__fx_hedged"]) == ("bigint", "boolean")
 
 
@@ -130,7 +130,7 @@ def test_widen_in_batches(spark, catalog, domains):
     merged = widen.merge_deltas(*parts)
     types = widen.feature_types(catalog)
     for how in ("empty", "latest"):
-        a, b = (sorted(map(str, widen.wide(x, types, how).collect())) for x in (whole, merged))
+        a, b = (sorted(map(str, widen.wide(x, types, domains, how).collect())) for x in (whole, merged))
         assert a == b
 
 
@@ -138,7 +138,7 @@ def test_widen_empty_and_extra_columns(spark, catalog, domains):
     none = rows_of(spark, []).withColumn("domain", F.lit("clash")).withColumn("value", F.lit(1)).withColumn("cells", F.lit(1))
     assert widen.compact(widen.deltas(none, catalog, domains)).count() == 0
     some = rows_of(spark, CELLS).withColumn("domain", F.lit("clash")).withColumn("value", F.lit(1)).withColumn("feature", F.lit("f")).withColumn("unit", F.lit("u"))
-    assert widen.unclear_cells(widen.compact(widen.deltas(some, catalog, domains))).count() == 2
+    assert widen.unclear_cells(widen.deltas(some, catalog, domains), widen.feature_types(catalog)).count() == 2
 
 
 STATES = "state_id bigint, domain_id string, network_id string, time_id string, demand_features map<string,double>, inventory_features map<string,double>, network_features map<string,double>"
