@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import name_key, with_domain
 from ..functions.values import read_typed
+from ..sources import bounded
 
 GROUPS = ("demand_features", "inventory_features", "network_features", "cost_features")
 CELL = "struct<version timestamp, value double, least double, most double, readable bigint>"
@@ -45,7 +46,7 @@ def cells(rows: DataFrame, catalog: DataFrame, domains: DataFrame, batch: Column
     batch = F.to_date("loaded_at") if batch is None else batch
     r = rows.where(F.col("entity_id").isNotNull()).select("entity_id", "domain_id", "attr_name", "raw_value", F.col("loaded_at").cast("timestamp").alias("version"), batch.alias("batch"))
     r = with_domain(r, domains).select("entity_id", "domain", name_key(F.col("attr_name")).alias("attr_key"), "raw_value", "version", "batch")
-    r = r.join(_catalog(catalog, domains), ["domain", "attr_key"], "left")
+    r = r.join(bounded(_catalog(catalog, domains)), ["domain", "attr_key"], "left")
     r = r.withColumn("value", F.when(F.col("feature").isNotNull(), read_typed(F.col("raw_value"), F.col("value_type"), F.col("unit"))))
     number = F.when(F.col("domain").isNotNull(), F.xxhash64("domain"))
     r = r.select("entity_id", "batch", "feature", number.alias("domain"), F.when(F.col("value").isNotNull(), F.col("version")).alias("version"), "value")
@@ -90,10 +91,10 @@ def _clear(readable: Column, least: Column, most: Column) -> Column:
 def unclear_cells(parts: DataFrame, names: Iterable[str]) -> DataFrame:
     """``entity_id, feature_name, outcome`` of cells that have rows but not one clear value:
     ``no_value`` if no row can be read as the feature's type, ``conflict`` if readable rows differ.
-    ``names`` are the full names of the catalog's features."""
+    ``names`` are the full names of the catalog's features, a list that the driver holds."""
     c = compact_cells(parts).where(F.col("feature").isNotNull() & ~_clear(F.col("readable"), F.col("least"), F.col("most")))
     known = parts.sparkSession.createDataFrame([(n,) for n in names], "feature_name string").withColumn("feature", feature_key(F.col("feature_name")))
-    return c.join(known, "feature").select("entity_id", "feature_name", F.when(F.col("readable") == 0, "no_value").otherwise("conflict").alias("outcome"))
+    return c.join(F.broadcast(known), "feature").select("entity_id", "feature_name", F.when(F.col("readable") == 0, "no_value").otherwise("conflict").alias("outcome"))
 
 
 def feature_types(catalog: DataFrame) -> dict[str, str]:

@@ -1,5 +1,5 @@
 """Where tables come from and where intermediate results go."""
 
-from .tables import durable, shared_dir, table
+from .tables import bounded, durable, shared_dir, table
 
-__all__ = ["durable", "shared_dir", "table"]
+__all__ = ["bounded", "durable", "shared_dir", "table"]

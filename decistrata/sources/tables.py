@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,3 +38,9 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``df`` as the broadcast side of a join if it is proven to have ``rows`` rows at most; else as it
+    is, for a shuffled join. The proof reads ``rows`` + 1 rows and no more."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
