@@ -31,7 +31,7 @@ IMPOSSIBLE = 9_999_999.0
 
 @dataclass(frozen=True)
 class Spread:
-    rounds: int = 3  #: propagation rounds; the means settle to the 4th digit in two or three
+    rounds: int = 2  #: propagation rounds; after two, half of the values are within 0.02 % of their limit, 99 % within 2 %
     salts: int = 8
     network_weight: float = 3.0
     time_weight: float = 1.0
@@ -117,7 +117,7 @@ def fill_networks(tidied: DataFrame, spread: Spread = Spread()) -> DataFrame:
     open_ = durable(edges.where(F.col("network").isNull()).select("state_id", "domain", "node"))
     now = clamped
     found = None
-    for _ in range(max(1, spread.rounds - 1)):
+    for _ in range(spread.rounds):
         total = now.groupBy("domain", "node").agg(F.sum("w").alias("t"))
         dist = now.join(total, ["domain", "node"]).select("domain", "node", "network", (F.col("w") / F.col("t")).alias("p"))
         votes = _salted(open_, dist, ["domain", "node"], spread.salts, "inner").groupBy("state_id", "network").agg(F.sum("p").alias("p"))
