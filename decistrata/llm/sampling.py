@@ -8,8 +8,8 @@ exact distributed rank; what can't be met is reported.
 from __future__ import annotations
 
 import math
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,9 @@ from ..functions.ids import with_domain
 from ..functions.ranking import rank_within
 from ..sources import durable
 
+if TYPE_CHECKING:  # the driver needs no pandas of its own
+    import pandas as pd
+
 
 def labelled(states: DataFrame, labels: DataFrame, domains: DataFrame) -> DataFrame:
     """Distinct ``state_id, domain, outcome`` of states that have a label row with the outcome.
