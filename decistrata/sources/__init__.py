@@ -1,5 +1,6 @@
 """Where tables come from and where intermediate results go."""
 
+from .ship import ship
 from .tables import bounded, durable, shared_dir, table
 
-__all__ = ["bounded", "durable", "shared_dir", "table"]
+__all__ = ["bounded", "durable", "shared_dir", "ship", "table"]
