@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import ship
 from .text import Hasher, plain, words_of
 
 BLOCK_BITS = 16
@@ -170,6 +171,7 @@ def held_passages(documents: DataFrame, items: DataFrame, search: Search = Searc
     while window > 2 and lengths and min(lengths) < 4 * window:
         window //= 2
     search = Search(window, search.stride if window > 2 else 1, search.radius, search.share, search.block, search.words)
+    ship(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("bigint"), "text")
     parts = []
     for k in range(0, max(len(rows), 1), search.block):

@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import ship
 from .text import plain
 
 _BULLET = r"^[ \t]*[-*•·–]"  # an item of a list starts a sentence
@@ -280,6 +281,7 @@ def _rate(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
 def rate(documents: DataFrame, model: Model) -> DataFrame:
     """``doc_id, reading_level`` of every document; the level is null without enough running prose
     (null, empty and short texts, logs, tables)."""
+    ship(documents.sparkSession)
     m = documents.sparkSession.sparkContext.broadcast(model)
     return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lambda it: _rate(it, m.value), "doc_id bigint, reading_level int")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import with_domain
 from ..functions.ranking import rank_within
-from ..sources import durable
+from ..sources import durable, ship
 
 if TYPE_CHECKING:  # the driver needs no pandas of its own
     import pandas as pd
@@ -90,6 +90,7 @@ def allocation(pool: DataFrame, requests: DataFrame, targets: DataFrame, domains
     t = with_domain(targets, domains).join(requests.groupBy("request_id").agg(F.max("sample_rows").alias("sample_rows")), "request_id", "left")
     t = t.join(counts.withColumnRenamed("outcome", "material_reconfiguration"), ["domain", "material_reconfiguration"], "left")
     t = t.select("request_id", F.coalesce("domain", "domain_id").alias("domain_id"), "material_reconfiguration", "target_share", "min_rows", "sample_rows", F.coalesce("available", F.lit(0)).alias("available"))
+    ship(targets.sparkSession)
     return t.groupBy("request_id").applyInPandas(_allocate, REPORT)  # a group is one request's targets
 
 

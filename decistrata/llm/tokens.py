@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import ship
+
 LONGEST = 512
 NONE = np.int64(1 << 40)
 
@@ -221,6 +223,7 @@ def token_ids(documents: DataFrame, vocabulary: str | None = None, pattern: str
 
         vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
         pattern = pattern or public_tokenizers.PATTERN
+    ship(documents.sparkSession)
     ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(str(vocabulary)))
     docs = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return docs.mapInArrow(lambda it: _encode(it, ranks.value, pattern, chars), "doc_id bigint, ids array<int>")
