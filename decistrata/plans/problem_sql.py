@@ -86,7 +86,15 @@ SELECT state_id, field FROM (SELECT DISTINCT state_id, field FROM one JOIN cat U
 
 _TIDY = f"trim(regexp_replace(regexp_replace(lower(regexp_replace({narrow('raw_value')}, '\\p{{Cf}}', '', 'g')), '[−–]', '-', 'g'), '[\\s\\x{{00A0}}\\x{{2007}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g'))"
 
-P5_FOUND = f"""WITH {DOMAINS},
+#: The catalog's features and their types, for the SQL of the wide table. Fixed values.
+FEATURES = {
+    "cost_features": "budget_left:double fx_hedged:boolean holding_rate:double penalty_unit:double setup_fixed:double transfer_unit:double",
+    "demand_features": "cv:double mean_weekly:double order_lines:long peak_ratio:double promo_uplift:double season_strength:double trend:double zero_share:double",
+    "inventory_features": "aged_share:double days_cover:double in_transit:double on_hand:double safety_stock:double stockout_days:long turn_rate:double",
+    "network_features": "arcs:long depth:long dual_sourced:boolean hub_share:double lead_days:double nodes:long",
+}
+
+_P5_VALUES = f"""WITH {DOMAINS},
 cat AS (SELECT domain, feature_group || '.' || feature_name AS feature, value_type, lower(unit) AS unit, {domain_key("feature_group || feature_name")} AS k1,
                {domain_key("regexp_replace(feature_group, '_features$', '') || feature_name")} AS k2 FROM feature_catalog JOIN dom ON dk = {domain_key('domain_id')}),
 r AS (SELECT entity_id, domain, {domain_key(narrow('attr_name'))} AS k, {_TIDY} AS t FROM feature_rows JOIN dom ON dk = {domain_key(narrow('domain_id'))} WHERE entity_id IS NOT NULL),
@@ -103,5 +111,22 @@ w AS (SELECT entity_id, feature, CASE value_type
         WHEN 'boolean' THEN CASE WHEN t IN ('true', 't', 'yes', 'y', 'on', '1') THEN 1.0 WHEN t IN ('false', 'f', 'no', 'n', 'off', '0') THEN 0.0 END
         WHEN 'long' THEN CASE WHEN num / (CASE WHEN pct THEN 100 ELSE 1 END) = floor(num / (CASE WHEN pct THEN 100 ELSE 1 END)) THEN num / (CASE WHEN pct THEN 100 ELSE 1 END) END
         ELSE CASE WHEN pct THEN round(num / 100, 12) ELSE num END END AS value FROM v)
-SELECT entity_id, feature AS feature_name, CASE WHEN count(value) = 0 THEN 'no_value' ELSE 'conflict' END AS outcome
+"""
+
+P5_FOUND = _P5_VALUES + """SELECT entity_id, feature AS feature_name, CASE WHEN count(value) = 0 THEN 'no_value' ELSE 'conflict' END AS outcome
 FROM w GROUP BY entity_id, feature HAVING count(value) = 0 OR max(value) - min(value) > 1e-9 * greatest(1.0, abs(max(value)))"""
+
+
+def _p5_column(group: str, name: str, kind: str) -> str:
+    value = f"max(CASE WHEN feature = '{group}.{name}' THEN v END)"
+    typed = {"boolean": f"{value} <> 0", "long": f"{value}::BIGINT", "double": value}[kind]
+    return f"{typed} AS {group}__{name}"
+
+
+_P5_COLUMNS = ",\n".join(_p5_column(g, *f.split(":")) for g, fs in FEATURES.items() for f in fs.split())
+
+P5_WIDE = f"""{_P5_VALUES},
+clear AS (SELECT entity_id, feature, CASE WHEN max(value) - min(value) <= 1e-9 * greatest(1.0, abs(max(value))) THEN max(value) END AS v FROM w GROUP BY ALL),
+ent AS (SELECT entity_id, max(domain) AS domain_id FROM feature_rows LEFT JOIN dom ON dk = {domain_key(narrow('domain_id'))} WHERE entity_id IS NOT NULL GROUP BY entity_id)
+SELECT entity_id, domain_id, {_P5_COLUMNS}
+FROM ent LEFT JOIN clear USING (entity_id) GROUP BY entity_id, domain_id"""

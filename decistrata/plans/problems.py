@@ -60,4 +60,4 @@ def p5_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_exact, p2_drift, p4_found, p4_fills, p5_found, p5_wide)}
-SQL = {"p2_found": problem_sql.P2_FOUND, "p2_exact": problem_sql.P2_EXACT, "p4_found": problem_sql.P4_FOUND, "p5_found": problem_sql.P5_FOUND}
+SQL = {"p2_found": problem_sql.P2_FOUND, "p2_exact": problem_sql.P2_EXACT, "p4_found": problem_sql.P4_FOUND, "p5_found": problem_sql.P5_FOUND, "p5_wide": problem_sql.P5_WIDE}

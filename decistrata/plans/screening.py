@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import with_domain
@@ -19,11 +19,21 @@ POLICIES: dict[str, RiskTrigger] = {
 }
 
 
+def _number(domain: str) -> Column:
+    return F.when(F.col(domain).isNotNull(), F.xxhash64(domain))
+
+
+def _named(result: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "domains").select(F.xxhash64("domain_id").alias("domain"), F.col("domain_id").alias("name")).distinct()
+    return result.join(names, "domain", "left").drop("domain").withColumnRenamed("name", "domain")
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     """States with their label, one row per ``state_id``: repeated deliveries have the same content, and
-    of repeated labels the one that has the outcome counts."""
+    of repeated labels the one that has the outcome counts. The domain travels as a number, so that
+    states are hashed and not sorted; :func:`_named` gives its name back to the few rows of a result."""
     s = with_domain(features.decision_states(table(spark, d, "decision_states"), ["state_id"]), table(spark, d, "domains"))
-    s = s.groupBy("state_id").agg(F.max("domain").alias("domain"), *[F.max(c).alias(c) for c in ("beta", "Gamma", "lambda_R")], F.max(F.col("inventory_features")["days_cover"]).alias("days_cover"))
+    s = s.groupBy("state_id").agg(F.max(_number("domain")).alias("domain"), *[F.max(c).alias(c) for c in ("beta", "Gamma", "lambda_R")], F.max(F.col("inventory_features")["days_cover"]).alias("days_cover"))
     y = oracle.oracle_labels(table(spark, d, "oracle_labels"), ("state_id",)).groupBy("state_id").agg(F.max("material_reconfiguration").alias("material_reconfiguration"))
     cover = F.create_map(F.lit("days_cover"), F.col("days_cover")).alias("inventory_features")
     return s.join(y, "state_id").select("state_id", "domain", "beta", "Gamma", "lambda_R", cover, "material_reconfiguration")
@@ -44,7 +54,7 @@ _RED = "coalesce(1.0 - avg(p::INT), 0.0)"
 def _rate(name: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         decided = POLICIES["gamma_at_least_7"].apply(_labelled(spark, d), "p")
-        return metrics.evaluate(decided, "material_reconfiguration", "p", ["domain"]).select("domain", name)
+        return _named(metrics.evaluate(decided, "material_reconfiguration", "p", ["domain"]).select("domain", name), spark, d)
 
     query.__name__ = name
     return query
