@@ -52,8 +52,8 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     """Documents by source and level; a null level is a document without enough running prose."""
     documents = table(spark, d, "documents")
     model = reading.fit(reading.grades(documents, table(spark, d, "doc_levels")))
-    rated = reading.rate(documents, model).groupBy("doc_id").agg(F.max("reading_level").alias("reading_level"))
-    return documents.select("doc_id", "source", "n_chars").join(rated, "doc_id").groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
+    rated = reading.rate(documents, model, ["source", "n_chars"])
+    return rated.groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_report, p3_sample, p6_ids, p7_found, p8_found, p8_profile)}

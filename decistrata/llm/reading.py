@@ -13,7 +13,7 @@ over whole texts of all documents in one narrow pass.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -271,19 +271,19 @@ def grades(documents: DataFrame, levels: DataFrame, setup: Setup = Setup()) -> l
 
 def _rate(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, out = batch.column(0).to_pylist(), []
-        for text in batch.column(1):
-            t = text.as_py()
-            out.append(None if not t else model.level(t))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int32())], ["doc_id", "reading_level"])
+        levels = [model.level(t) if (t := text.as_py()) else None for text in batch.column(0)]
+        kept = range(1, batch.num_columns)
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(levels, pa.int32())], [*[batch.schema.field(i).name for i in kept], "reading_level"])
 
 
-def rate(documents: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, reading_level`` of every document; the level is null without enough running prose
-    (null, empty and short texts, logs, tables)."""
+def rate(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keep`` and ``reading_level`` of every document; the level is null without enough running prose
+    (null, empty and short texts, logs, tables). Kept columns pass through, so no join follows."""
     ship(documents.sparkSession)
     m = documents.sparkSession.sparkContext.broadcast(model)
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lambda it: _rate(it, m.value), "doc_id bigint, reading_level int")
+    d = documents.select(F.col("text").cast("string").alias("_text"), *[F.col(c).cast("bigint") if c == "doc_id" else F.col(c) for c in keep])
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in d.dtypes[1:]], "reading_level int"])
+    return d.mapInArrow(lambda it: _rate(it, m.value), schema)
 
 
 def reading_levels(documents: DataFrame, levels: DataFrame, setup: Setup = Setup()) -> DataFrame:
