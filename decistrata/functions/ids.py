@@ -41,13 +41,15 @@ def network_key(c: Column) -> Column:
 
 
 def with_domain(df: DataFrame, domains: DataFrame, column: str = "domain_id", to: str = "domain") -> DataFrame:
-    """Add the proper ``domain_id`` of ``domains`` as column ``to``; null where none fits.
+    """Add the proper ``domain_id`` of ``domains`` as column ``to``, in the place of a column of that
+    name if there is one; null where none fits.
 
     ``domains`` is a catalog table: the plan leaves the join side to Catalyst, which broadcasts it
     by its file size and else joins by shuffle.
     """
     names = domains.select(name_key(F.col("domain_id")).alias("_dk"), F.col("domain_id").alias("_dn")).groupBy("_dk").agg(F.min("_dn").alias(to))
-    return df.withColumn("_dk", name_key(F.col(column))).join(names, "_dk", "left").drop("_dk")
+    own = F.col(column).alias("_dc")
+    return df.select(own, *[F.col(f"`{c}`") for c in df.columns if c not in (to, "_dk", "_dc")]).withColumn("_dk", name_key(F.col("_dc"))).drop("_dc").join(names, "_dk", "left").drop("_dk")
 
 
 def time_key(c: Column) -> Column:

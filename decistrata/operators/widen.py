@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import name_key, with_domain
@@ -125,6 +125,16 @@ def wide(compacted: DataFrame, types: dict[str, str], domains: DataFrame, on_con
     return compacted.join(named, "domain", "left").select("entity_id", "domain_id", *[column(n, t) for n, t in types.items()])
 
 
+def write_run(parts: DataFrame, folder: str, replace: bool = False) -> None:
+    """Write deltas as a sorted run: a file holds whole entities, by entity and batch. A run is added to
+    what the folder holds, or takes its place."""
+    parts.select("entity_id", "batch", "domain", "cells").repartition("entity_id").sortWithinPartitions("entity_id", "batch").write.mode("overwrite" if replace else "append").parquet(folder)
+
+
+def read_runs(spark: SparkSession, *folders: str) -> DataFrame:
+    return spark.read.parquet(*folders)
+
+
 def merge_deltas(*parts: DataFrame) -> DataFrame:
     """Compaction of several runs, such as yesterday's result and today's deltas."""
     return compact(reduce(DataFrame.unionByName, [p.select("entity_id", "domain", "cells") for p in parts]))

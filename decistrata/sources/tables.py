@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_folders: set[str] = set()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -32,10 +35,19 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     A lost executor then costs a read and no recomputation, and plans that use the result several
-    times don't repeat it. Parquet is a tenth of what a checkpoint of rows would take.
+    times don't repeat it. Parquet is a tenth of what a checkpoint of rows would take. The tables of
+    an application lie in one folder, which goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    folder = f"{shared_dir(spark).rstrip('/')}/tables/{sc.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from decistrata import streaming
 from decistrata.functions import ids, ranking, values
 from decistrata.operators import fill, profile, widen
 
@@ -77,6 +78,12 @@ def test_profile_issues(spark):
     assert {(k, c) for k, c, _ in got} == {(2, "v"), (3, "v"), (4, "v"), (5, "t"), (6, "t")}
 
 
+def test_profile_clashing_columns(spark):
+    df = loads(spark, {1: [(1.0, "A")]}).selectExpr("*", "9 as load_id", "'x' as column_name", "7 as number", "'y' as text", "3 as n")
+    got = {r["column_name"]: r for r in profile.profile(profile.value_counts(df, "load", ["v"], ["t"])).collect()}
+    assert set(got) == {"v", "t"} and got["v"]["load_id"] == 1 and got["v"]["most"] == 1.0
+
+
 def test_profile_empty_and_single(spark):
     assert profile.profile(profile.value_counts(loads(spark, {}), "load", ["v"], ["t"])).count() == 0
     p = profile.profile(profile.value_counts(loads(spark, {1: [(None, None)] * 3}), "load", ["v"], ["t"]))
@@ -134,6 +141,29 @@ def test_widen_in_batches(spark, catalog, domains):
         assert a == b
 
 
+def test_runs(spark, catalog, domains, tmp_path):
+    whole = widen.compact(widen.deltas(rows_of(spark, CELLS), catalog, domains))
+    for k in range(3):
+        widen.write_run(widen.deltas(rows_of(spark, CELLS[k::3]), catalog, domains), str(tmp_path / "log"))
+    types = widen.feature_types(catalog)
+    a, b = (sorted(map(str, widen.wide(x, types, domains, "latest").collect())) for x in (whole, widen.compact(widen.read_runs(spark, str(tmp_path / "log")))))
+    assert a == b
+
+
+def test_upsert_stream(spark, catalog, domains, tmp_path):
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    for k in range(3):
+        rows_of(spark, CELLS[k::3]).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(source)
+    q = streaming.upserts(stream, catalog, domains, log).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None and len(list((tmp_path / "log").iterdir())) == 3
+    types = widen.feature_types(catalog)
+    whole = widen.compact(widen.deltas(rows_of(spark, CELLS), catalog, domains))
+    a, b = (sorted(map(str, widen.wide(x, types, domains, "latest").collect())) for x in (whole, widen.compact(widen.read_runs(spark, f"{log}/*"))))
+    assert a == b
+
+
 def test_widen_empty_and_extra_columns(spark, catalog, domains):
     none = rows_of(spark, []).withColumn("domain", F.lit("clash")).withColumn("value", F.lit(1)).withColumn("cells", F.lit(1))
     assert widen.compact(widen.deltas(none, catalog, domains)).count() == 0
