@@ -24,7 +24,7 @@ if TYPE_CHECKING:  # the driver needs no pandas of its own
 def labelled(states: DataFrame, labels: DataFrame, domains: DataFrame) -> DataFrame:
     """Distinct ``state_id, domain, outcome`` of states that have a label row with the outcome.
     Rows without state, domain or outcome are no part of any category."""
-    s = with_domain(states, domains).where(F.col("state_id").isNotNull() & F.col("domain").isNotNull()).select("state_id", "domain").distinct()
+    s = with_domain(states.select("state_id", "domain_id"), domains).where(F.col("state_id").isNotNull() & F.col("domain").isNotNull()).select("state_id", "domain").distinct()
     y = labels.where(F.col("material_reconfiguration").isNotNull()).select("state_id", F.col("material_reconfiguration").alias("outcome")).distinct()
     return s.join(y, "state_id")
 
@@ -87,7 +87,7 @@ def allocation(pool: DataFrame, requests: DataFrame, targets: DataFrame, domains
     """One row per target: what is needed (the greater of share x rows and the minimum), available and
     allotted, and the shortfall. A target of a request without ``sample_rows`` asks for its minimum."""
     counts = pool.groupBy("domain", "outcome").agg(F.count(F.lit(1)).alias("available"))
-    t = with_domain(targets, domains).join(requests.groupBy("request_id").agg(F.max("sample_rows").alias("sample_rows")), "request_id", "left")
+    t = with_domain(targets.select("request_id", "domain_id", "material_reconfiguration", "target_share", "min_rows"), domains).join(requests.groupBy("request_id").agg(F.max("sample_rows").alias("sample_rows")), "request_id", "left")
     t = t.join(counts.withColumnRenamed("outcome", "material_reconfiguration"), ["domain", "material_reconfiguration"], "left")
     t = t.select("request_id", F.coalesce("domain", "domain_id").alias("domain_id"), "material_reconfiguration", "target_share", "min_rows", "sample_rows", F.coalesce("available", F.lit(0)).alias("available"))
     ship(targets.sparkSession)

@@ -41,6 +41,8 @@ def tables(spark):
 
 def test_sample(spark):
     states, labels, requests, targets, domains = tables(spark)
+    states, targets = (t.selectExpr("*", "'x' as domain", "1 as available", "2 as sample_rows", "3 as rank") for t in (states, targets))
+    labels = labels.selectExpr("*", "'x' as domain", "true as outcome")
     report = sampling.allocation(sampling.labelled(states, labels, domains), requests, targets, domains)
     got = {(r["request_id"], r["domain_id"], r["material_reconfiguration"]): r for r in report.collect()}
     assert got["r", "book_postal", True]["available"] == 25 and got["r", "book_postal", True]["quota"] == 25 and got["r", "book_postal", True]["shortfall"] == 3.0
@@ -54,6 +56,16 @@ def test_sample(spark):
     assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, sampling.sample(states.repartition(5), labels, requests, targets, domains).collect()))
 
 
+def test_nulls_in_targets(spark):
+    states, labels, requests, _, domains = tables(spark)
+    rows = [("r", None, True, 0.5, 1), ("r", "toy_outlet", None, None, None), (None, "toy_outlet", True, 0.5, 3), ("unknown", "toy_outlet", True, 0.5, 4)]
+    targets = spark.createDataFrame(rows, "request_id string, domain_id string, material_reconfiguration boolean, target_share double, min_rows bigint")
+    report = sampling.allocation(sampling.labelled(states, labels, domains), requests, targets, domains)
+    got = {(r["request_id"], r["domain_id"]): (r["needed"], r["available"] > 0, r["quota"]) for r in report.collect()}
+    assert got == {("r", None): (50.0, False, 0), ("r", "toy_outlet"): (0.0, False, 0), (None, "toy_outlet"): (3.0, True, 3), ("unknown", "toy_outlet"): (4.0, True, 4)}
+    assert [tuple(r) for r in sampling.shortfalls(report).collect()] == [("r", None, "true")]
+
+
 def test_empty(spark):
     states, labels, requests, targets, domains = tables(spark)
     report = sampling.allocation(sampling.labelled(states.limit(0), labels, domains), requests, targets, domains)
