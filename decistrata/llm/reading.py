@@ -60,7 +60,7 @@ SYNTAX = ("word length", "long words", "sentence length", "links", "numbers")
 
 @dataclass(frozen=True)
 class Setup:
-    documents: int = 4000  #: graded documents that the ranker is fitted on, at most
+    documents: int = 2000  #: graded documents that the ranker is fitted on, at most
     vocabulary: int = 12000  #: words with a weight of their own, the most widespread of those documents
     reach: int = 15  #: words on each side that a passage's score takes in,
     mix: float = 0.5  #: besides, by this part, the words of the same sentence
