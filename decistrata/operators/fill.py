@@ -46,15 +46,13 @@ def plausible(v: Column, signed: Column | bool) -> Column:
     return v if signed is True else F.when((v >= 0) | F.lit(signed), v)
 
 
-def signed_features(states: DataFrame, features: Sequence[tuple[str, str]], spread: Spread = Spread()) -> set[str]:
-    """Full names of the features that may be negative, by their share of such values over all rows.
+def signed_features(tidied: DataFrame, features: Sequence[tuple[str, str]], spread: Spread = Spread()) -> set[int]:
+    """Positions of the features that may be negative, by the share of states with such a value.
     One aggregated row comes to the driver."""
-    aggs = []
-    for i, (g, n) in enumerate(features):
-        v = plausible(F.col(g)[n], True)
-        aggs += [F.count(F.when((v < 0) & (v != -1), 1)).alias(f"neg{i}"), F.count(v).alias(f"all{i}")]
-    row = states.agg(*aggs).first() if aggs else None
-    return {f"{g}.{n}" for i, (g, n) in enumerate(features) if row[f"neg{i}"] > spread.signed * max(row[f"all{i}"], 1)}
+    aggs = [F.count(F.when((F.col(f"f{i}") < 0) & (F.col(f"f{i}") != -1), 1)).alias(f"neg{i}") for i in range(len(features))]
+    aggs += [F.count(f"f{i}").alias(f"all{i}") for i in range(len(features))]
+    row = tidied.agg(*aggs).first() if aggs else None
+    return {i for i in range(len(features)) if row[f"neg{i}"] > spread.signed * max(row[f"all{i}"], 1)}
 
 
 def catalog_features(catalog: DataFrame, groups: Sequence[str]) -> list[tuple[str, str]]:
@@ -77,13 +75,13 @@ def network_name(code: Column) -> Column:
 
 def tidy_states(states: DataFrame, catalog: DataFrame, domains: DataFrame, groups: Sequence[str] = ("demand_features", "inventory_features"), spread: Spread = Spread()) -> DataFrame:
     """One row per ``state_id``: ``domain, network, time`` as numbers, ``listed`` (features the catalog
-    lists for the domain), ``f0..`` (usable values, null if none) and ``s0..`` (structural values). A value
-    counts as held if any delivery of the state has it. Rows without ``state_id`` name no state and are
-    left out. All that is aggregated is a number, so it is hashed and not sorted."""
+    lists for the domain), ``f0..`` (values that could be measurements if negative ones can; null if none) and
+    ``s0..`` (structural values). A value counts as held if any delivery of the state has it. Rows without
+    ``state_id`` name no state and are left out. All that is aggregated is a number, so it is hashed and
+    not sorted, and the maps are read once."""
     features = catalog_features(catalog, groups)
-    signed = signed_features(states, features, spread)
     s = with_domain(states.where(F.col("state_id").isNotNull()).select("state_id", "domain_id", "network_id", "time_id", *dict.fromkeys([*groups, "network_features"])), domains)
-    values = [plausible(F.col(g)[n], f"{g}.{n}" in signed).alias(f"f{i}") for i, (g, n) in enumerate(features)]
+    values = [plausible(F.col(g)[n], True).alias(f"f{i}") for i, (g, n) in enumerate(features)]
     alike = [plausible(F.col("network_features")[x], False).alias(f"s{i}") for i, x in enumerate(spread.structure)]
     week = let(time_key(F.col("time_id")), lambda t: F.substring(t, 1, 4).cast("int") * 100 + F.substring(t, 7, 2).cast("int"))
     number = F.when(F.col("domain").isNotNull(), F.xxhash64("domain"))
@@ -138,7 +136,10 @@ def fill(states: DataFrame, catalog: DataFrame, domains: DataFrame, groups: Sequ
     """
     features = catalog_features(catalog, groups)
     n = len(features)
-    t = durable(tidy_states(states, catalog, domains, groups, spread).withColumn("missing", missing_fields(features)))
+    t = durable(tidy_states(states, catalog, domains, groups, spread))
+    signed = signed_features(t, features, spread)
+    t = t if len(signed) == n else t.withColumns({f"f{i}": F.when(F.col(f"f{i}") >= 0, F.col(f"f{i}")) for i in range(n) if i not in signed})
+    t = t.withColumn("missing", missing_fields(features))
     nets = fill_networks(t, spread)
     guess = nets.select("state_id", F.col("network").alias("guess"), "score")
 
@@ -146,6 +147,9 @@ def fill(states: DataFrame, catalog: DataFrame, domains: DataFrame, groups: Sequ
     lacking = t.where(F.size("missing") > 0).select("state_id", "domain", "network", "time", "missing", *fs).join(guess, "state_id", "left")
     lacking = durable(lacking.withColumn("net", F.coalesce("network", "guess")))
 
+    if not n:
+        return lacking.select("state_id", F.explode("missing").alias("field"), F.lit(None).cast("double").alias("value"), network_name(F.col("guess")).alias("label"), "score").withColumn("filled", F.col("label").isNotNull())
+
     def sums(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
         return df.groupBy(*keys).agg(*[F.sum(c).alias(f"{c}_s") for c in cols], *[F.count(c).cast("double").alias(f"{c}_n") for c in cols])
 
@@ -176,7 +180,7 @@ def fill(states: DataFrame, catalog: DataFrame, domains: DataFrame, groups: Sequ
             new.append(F.when(F.array_contains("missing", f"{g}.{m}"), mean).alias(f"x{i}"))
         keep = ["state_id", "domain", "net", "time", "missing", "guess", "score"]
         current = durable(at.select(*keep, *new, *[f"all_f{i}" for i in range(n)]))
-    values = F.create_map(*[x for i, (g, m) in enumerate(features) for x in (F.lit(f"{g}.{m}"), F.col(f"x{i}"))]) if n else F.lit(None).cast("map<string,double>")
+    values = F.create_map(*[x for i, (g, m) in enumerate(features) for x in (F.lit(f"{g}.{m}"), F.col(f"x{i}"))])
     out = current.select("state_id", F.explode("missing").alias("field"), values.alias("v"), "guess", "score")
     is_net = F.col("field") == "network_id"
     out = out.select("state_id", "field", F.when(~is_net, F.col("v")[F.col("field")]).alias("value"), F.when(is_net, network_name(F.col("guess"))).alias("label"), F.when(is_net, F.col("score")).alias("score"))

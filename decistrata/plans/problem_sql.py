@@ -77,8 +77,9 @@ s AS (SELECT state_id, domain, {network_key('network_id')} AS net, demand_featur
 cat AS (SELECT domain, feature_group || '.' || feature_name AS field, feature_group AS g, feature_name AS f FROM feature_catalog JOIN dom ON dk = {domain_key('domain_id')} WHERE feature_group IN ('demand_features', 'inventory_features')),
 e AS (SELECT state_id, 'demand_features.' || e.key AS field, e.value AS v FROM (SELECT state_id, unnest(map_entries(demand_features)) AS e FROM s)
       UNION ALL SELECT state_id, 'inventory_features.' || e.key, e.value FROM (SELECT state_id, unnest(map_entries(inventory_features)) AS e FROM s)),
-sig AS (SELECT field, count(*) FILTER (v < 0 AND v <> -1) > 0.001 * greatest(count(*), 1) AS signed FROM e WHERE v IS NOT NULL AND {_POSSIBLE.format('v')} GROUP BY field),
-usable AS (SELECT DISTINCT state_id, field FROM e JOIN sig USING (field) WHERE v IS NOT NULL AND {_POSSIBLE.format('v')} AND (signed OR v >= 0)),
+mx AS (SELECT state_id, field, max(v) AS v FROM e WHERE v IS NOT NULL AND {_POSSIBLE.format('v')} GROUP BY ALL),
+sig AS (SELECT field, count(*) FILTER (v < 0 AND v <> -1) > 0.001 * greatest(count(*), 1) AS signed FROM mx GROUP BY field),
+usable AS (SELECT state_id, field FROM mx JOIN sig USING (field) WHERE signed OR v >= 0),
 one AS (SELECT state_id, max(domain) AS domain, max(net) AS net FROM s GROUP BY state_id)
 SELECT state_id, 'network_id' AS field FROM one WHERE net IS NULL
 UNION ALL

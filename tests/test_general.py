@@ -197,5 +197,14 @@ def test_fill(spark, catalog, domains):
     assert got[3, "demand_features.mean_weekly"]["value"] > 11
 
 
+def test_empty_catalog(spark, catalog, domains):
+    states = spark.createDataFrame([(1, "toy_outlet", "NW-1-AA", "2011-W01", {"cv": 0.4}, None, SHAPE), (2, "toy_outlet", "?", None, None, None, SHAPE)], STATES)
+    got = [(r["state_id"], r["field"], r["label"], r["filled"]) for r in fill.fill(states, catalog.limit(0), domains).collect()]
+    assert got == [(2, "network_id", "1-AA", True)]
+    c = widen.compact(widen.deltas(rows_of(spark, CELLS), catalog.limit(0), domains))
+    assert widen.wide(c, widen.feature_types(catalog.limit(0)), domains).count() == 4
+    assert widen.unclear_cells(c, widen.feature_types(catalog.limit(0))).count() == 0
+
+
 def test_fill_empty(spark, catalog, domains):
     assert fill.fill(spark.createDataFrame([], STATES), catalog, domains).count() == 0
