@@ -5,8 +5,8 @@ version and value of their latest readable row and what is needed to see contrad
 Compaction merges an entity's deltas cell by cell, the latest version winning. Deltas merge
 associatively, so those of an earlier run can be compacted with new ones (``compact`` of a union).
 
-Rows are pre-aggregated per (entity, batch, attribute) before the first shuffle, so a repeated or
-hot entity arrives as a few rows; one further shuffle by entity serves both deltas and compaction.
+One shuffle by entity serves both deltas and compaction. Only the rows of hot entities, if there are
+any, are pre-aggregated per (entity, batch, attribute) before it, so they arrive as a few rows.
 """
 
 from __future__ import annotations
@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import name_key, with_domain
 from ..functions.values import read_typed
-from ..sources import bounded
+from ..sources import bounded, durable
 
 GROUPS = ("demand_features", "inventory_features", "network_features", "cost_features")
+#: Rows of one entity that a task may get. A third of all rows may have one entity.
+HOT = 100_000
+#: Hot entities that may be broadcast; each has more than HOT rows, so 2 billion rows come first.
+HOT_LIST = 20_000
 CELL = "struct<version timestamp, value double, least double, most double, readable bigint>"
 
 
@@ -39,23 +43,27 @@ def _catalog(catalog: DataFrame, domains: DataFrame) -> DataFrame:
     return c.withColumn("feature", feature_key(F.col("name"))).drop("name")
 
 
-def cells(rows: DataFrame, catalog: DataFrame, domains: DataFrame, batch: Column | None = None) -> DataFrame:
-    """One row per entity, batch and catalog feature. Rows of attributes that belong to no feature
-    of the entity's domain count under a null feature, so their entity isn't lost; rows without
-    ``entity_id`` name no entity and are left out. ``batch`` defaults to the day of ``loaded_at``."""
+def read_rows(rows: DataFrame, catalog: DataFrame, domains: DataFrame, batch: Column | None = None) -> DataFrame:
+    """``entity_id, batch, feature, domain, version, value`` of each row, numbers all. Rows of attributes
+    that belong to no feature of the entity's domain have a null feature, so their entity isn't lost;
+    rows without ``entity_id`` name no entity and are left out. ``batch`` defaults to the day of ``loaded_at``."""
     batch = F.to_date("loaded_at") if batch is None else batch
     r = rows.where(F.col("entity_id").isNotNull()).select("entity_id", "domain_id", "attr_name", "raw_value", F.col("loaded_at").cast("timestamp").alias("version"), batch.alias("batch"))
     r = with_domain(r, domains).select("entity_id", "domain", name_key(F.col("attr_name")).alias("attr_key"), "raw_value", "version", "batch")
     r = r.join(bounded(_catalog(catalog, domains)), ["domain", "attr_key"], "left")
     r = r.withColumn("value", F.when(F.col("feature").isNotNull(), read_typed(F.col("raw_value"), F.col("value_type"), F.col("unit"))))
     number = F.when(F.col("domain").isNotNull(), F.xxhash64("domain"))
-    r = r.select("entity_id", "batch", "feature", number.alias("domain"), F.when(F.col("value").isNotNull(), F.col("version")).alias("version"), "value")
-    return r.groupBy("entity_id", "batch", "feature").agg(F.max("domain").alias("domain"), *_merged(F.col("version"), F.col("value"), F.col("value"), F.col("value"), F.count("value")))
+    return r.select("entity_id", "batch", "feature", number.alias("domain"), F.when(F.col("value").isNotNull(), F.col("version")).alias("version"), "value")
+
+
+def _cells(read: DataFrame) -> DataFrame:
+    """One row per entity, batch and feature."""
+    return read.groupBy("entity_id", "batch", "feature").agg(F.max("domain").alias("domain"), *_merged(F.col("version"), F.col("value"), F.col("value"), F.col("value"), F.count("value")))
 
 
 def _merged(version: Column, value: Column, least: Column, most: Column, readable: Column) -> list[Column]:
     """Aggregates of a cell, numbers all, so they are hashed and not sorted. A value without version is
-    older than any with one; of values with the same version the first by hash is the latest."""
+    older than any with one; of values with the same version the last by hash is the latest."""
     order = F.coalesce(F.unix_micros(version), F.lit(-(1 << 60))).cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.pmod(F.xxhash64(value), F.lit(10**10)).cast("decimal(11,0)")
     at = F.max(version).alias("version")
     return [at, F.max_by(value, F.when(value.isNotNull(), order)).alias("value"), F.min(least).alias("least"), F.max(most).alias("most"), readable.alias("readable")]
@@ -66,10 +74,31 @@ def _as_map() -> Column:
     return F.map_from_entries(F.collect_list(own)).alias("cells")  # at most one entry for each catalog feature
 
 
-def deltas(rows: DataFrame, catalog: DataFrame, domains: DataFrame, batch: Column | None = None) -> DataFrame:
-    """Sparse wide deltas ``entity_id, batch, domain, cells`` (map of feature key to versioned cell)."""
-    c = cells(rows, catalog, domains, batch).repartition("entity_id")
-    return c.groupBy("entity_id", "batch").agg(F.max("domain").alias("domain"), _as_map())
+def deltas(rows: DataFrame, catalog: DataFrame, domains: DataFrame, batch: Column | None = None, hot: int = HOT) -> DataFrame:
+    """Sparse wide deltas ``entity_id, batch, domain, cells`` (map of feature key to versioned cell).
+
+    Rows go to their entity's task in one shuffle, which serves compaction too. Entities of more than
+    ``hot`` rows, found by a count over the id alone, are first aggregated where they are, so that a
+    task never gets more than ``hot`` rows of one entity. The result doesn't depend on ``hot``.
+    """
+
+    def wide_deltas(cells: DataFrame) -> DataFrame:
+        return cells.groupBy("entity_id", "batch").agg(F.max("domain").alias("domain"), _as_map())
+
+    def gathered(part: DataFrame) -> DataFrame:
+        return wide_deltas(_cells(read_rows(part, catalog, domains, batch).repartition("entity_id")))
+
+    def aggregated_first(part: DataFrame) -> DataFrame:
+        return wide_deltas(_cells(read_rows(part, catalog, domains, batch)).repartition("entity_id"))
+
+    many = durable(rows.where(F.col("entity_id").isNotNull()).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("entity_id"))
+    found = many.limit(HOT_LIST + 1).count()
+    if not found:
+        return gathered(rows)
+    if found > HOT_LIST:  # too many to be sent to every task
+        return aggregated_first(rows)
+    cold, warm = (rows.join(F.broadcast(many), "entity_id", how) for how in ("left_anti", "left_semi"))
+    return gathered(cold).unionByName(aggregated_first(warm))
 
 
 def compact_cells(parts: DataFrame) -> DataFrame:

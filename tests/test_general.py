@@ -141,6 +141,20 @@ def test_widen_in_batches(spark, catalog, domains):
         assert a == b
 
 
+def test_hot_entities(spark, catalog, domains, monkeypatch):
+    rows = rows_of(spark, CELLS * 3)
+    types = widen.feature_types(catalog)
+
+    def result(**how):
+        d = widen.deltas(rows, catalog, domains, **how)
+        return sorted(map(str, widen.wide(widen.compact(d), types, domains, "latest").collect())), sorted(map(tuple, widen.unclear_cells(d, types).collect()))
+
+    cold = result()
+    assert result(hot=10) == cold and result(hot=0) == cold
+    monkeypatch.setattr(widen, "HOT_LIST", 1)
+    assert result(hot=0) == cold
+
+
 def test_runs(spark, catalog, domains, tmp_path):
     whole = widen.compact(widen.deltas(rows_of(spark, CELLS), catalog, domains))
     for k in range(3):

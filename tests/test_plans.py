@@ -30,13 +30,13 @@ def test_row_wise_queries_do_not_shuffle(spark):
         assert "Exchange" not in plan(screening.QUERIES[name](spark, DATA)), name
 
 
-def test_rows_are_shuffled_twice_by_number(spark):
-    """Once pre-aggregated by cell, once by entity; deltas and compaction share the second."""
-    d = widen.compact(widen.deltas(table(spark, DATA, "feature_rows"), table(spark, DATA, "feature_catalog"), table(spark, DATA, "domains")))
-    text = plan(d)
+def test_rows_are_shuffled_once(spark):
+    """By entity, for deltas and compaction alike; hot entities are aggregated before."""
+    args = (table(spark, DATA, "feature_rows"), table(spark, DATA, "feature_catalog"), table(spark, DATA, "domains"))
+    text = plan(widen.compact(widen.deltas(*args)))
+    assert text.count("Exchange hashpartitioning(entity_id") == 1
+    text = plan(widen.deltas(*args, hot=5))
     assert len(re.findall(r"Exchange hashpartitioning\(entity_id#\d+L, batch#\d+, feature#\d+L", text)) == 1
-    assert len(re.findall(r"Exchange hashpartitioning\(entity_id#\d+L, \d+\)", text)) == 1
-    assert text.count("Exchange hashpartitioning(entity_id") == 2
 
 
 def test_profile_has_no_cartesian(spark):
