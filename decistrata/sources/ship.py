@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import zipfile
 from pathlib import Path
 
@@ -21,7 +22,7 @@ def ship(spark: SparkSession) -> None:
     name = f"{PACKAGE.name}.zip"
     if name in sc._python_includes or not PACKAGE.is_dir():
         return
-    path = os.path.join(sc._temp_dir, name)
+    path = os.path.join(sc._temp_dir or tempfile.mkdtemp(prefix="decistrata-"), name)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(PACKAGE.parent))
