@@ -12,6 +12,8 @@ rows then follow by an exact rank within each size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from ..sources import durable
 
 #: Relations that bind two networks together; other notes don't. Fixed values.
 BINDING = ("derived_from", "renamed_to", "merged_into", "split_from")
-#: Most units into which a split's total is cut; sizes beyond are rounded to units of total/UNITS rows.
+#: Rows of a split's total that are searched at first; of a larger total all of it where that misses.
 UNITS = 1 << 22
 
 
@@ -88,38 +90,68 @@ def bound_pairs(states: DataFrame, links: DataFrame, domains: DataFrame) -> Data
 
 
 def choose(histogram: dict[int, int], target: int) -> dict[int, int]:
-    """How many of each size to take so that the total is as close to ``target`` as any choice is.
+    """How many of each size to take so that the total is as close to ``target`` as any choice is; ties go
+    to the smaller total.
 
-    Bit s of the bitset tells that total s can be reached. Multiplicities are taken in powers of
+    Most of a large total is first taken by size and only the last UNITS rows are searched. What hits the
+    closest multiple of the sizes' common divisor can't be beaten. Otherwise the whole total is searched, up
+    to the distance that the first attempt left.
+    """
+    usable = {s: m for s, m in histogram.items() if 0 < s <= 2 * target and m > 0}
+    if not usable:
+        return {}
+    g = math.gcd(*usable)
+    near = min(target // g * g, (target // g + 1) * g, key=lambda total: (abs(total - target), total))
+    took, rest, left = {}, target, dict(usable)
+    for size in sorted(usable, reverse=True):
+        k = min(left[size], max(0, rest - UNITS) // size)
+        if k:
+            took[size] = k
+            left[size] -= k
+            rest -= k * size
+    for size, k in _closest(left, rest, 2 * rest, g).items():
+        took[size] = took.get(size, 0) + k
+    total = sum(s * k for s, k in took.items())
+    if total == near or rest == target:
+        return took
+    return _closest(usable, target, target + min(target, abs(total - target)), g)
+
+
+def _closest(histogram: dict[int, int], target: int, cap: int, g: int) -> dict[int, int]:
+    """The choice closest to ``target`` of those with a total up to ``cap``; ``g`` divides every size.
+
+    Bit s of the bitset tells that a total of s x ``g`` can be reached. Multiplicities are taken in powers of
     two; the first step that reaches a total is kept, so the choice is read back from the sums
-    alone: earlier totals were reached by earlier steps, and no step is used twice. Totals over
-    twice the target can't be closest (0 is closer) and are masked. Ties go to the smaller total.
+    alone: earlier totals were reached by earlier steps, and no step is used twice.
     """
     import numpy as np
 
-    if target <= 0 or not histogram:
-        return {}
-    cap = 2 * target
+    cap //= g
+    goal = min(cap, target // g + (2 * (target % g) > g))
     steps, bits, mask = [], 1, (1 << (cap + 1)) - 1
     first = np.full(cap + 1, -1, dtype=np.int32)
-    for size in sorted((s for s in histogram if 0 < s <= cap), reverse=True):
-        left, k = min(histogram[size], cap // size), 1
-        while left > 0 and not (bits >> target) & 1:
+    for size in sorted((s // g for s in histogram if s // g <= cap), reverse=True):
+        left, k = min(histogram[size * g], cap // size), 1
+        while left > 0 and not (bits >> goal) & 1:
             k = min(k, left)
             new = (bits << (size * k)) & mask & ~bits
             if new:
                 raw = np.frombuffer(new.to_bytes((cap >> 3) + 1, "little"), dtype=np.uint8)
-                first[np.flatnonzero(np.unpackbits(raw, bitorder="little")[: cap + 1])] = len(steps)
+                for at in range(0, len(raw), 1 << 20):
+                    some = np.flatnonzero(raw[at : at + (1 << 20)]) + at
+                    spot = np.flatnonzero(np.unpackbits(raw[some], bitorder="little"))
+                    first[some[spot >> 3] * 8 + (spot & 7)] = len(steps)
                 bits |= new
             steps.append((size, k))
             left -= k
             k *= 2
-    reached = np.concatenate([[0], np.flatnonzero(first >= 0)])
-    best = int(reached[np.lexsort([reached, np.abs(reached - target)])[0]])
+    below, above = (bits & ((1 << (goal + 1)) - 1)).bit_length() - 1, bits >> goal
+    best = [below, *([goal + (above & -above).bit_length() - 1] if above else [])]
+    best = min(best, key=lambda total: (abs(total * g - target), total))
     taken: dict[int, int] = {}
     while best > 0:
         size, k = steps[first[best]]
-        taken[size] = taken.get(size, 0) + k
+        taken[size * g] = taken.get(size * g, 0) + k
         best -= size * k
     return taken
 
@@ -127,22 +159,12 @@ def choose(histogram: dict[int, int], target: int) -> dict[int, int]:
 def plan(histogram: dict[int, int], shares: dict[str, float]) -> dict[str, dict[int, int]]:
     """Split to {size: components}; the last split of ``shares`` takes what the others leave."""
     total = sum(s * m for s, m in histogram.items())
-    unit = max(1, -(-total // UNITS))
     left, out = dict(histogram), {}
     names = list(shares)
     for name in sorted(names[:-1], key=lambda n: (shares[n], n)):
-        grouped: dict[int, list[int]] = {}
-        for s in left:
-            grouped.setdefault(max(1, round(s / unit)), []).append(s)
-        took = choose({u: sum(left[s] for s in ss) for u, ss in grouped.items()}, round(shares[name] * total / unit))
-        out[name] = {}
-        for u, k in took.items():
-            for s in sorted(grouped[u]):
-                take = min(k, left[s])
-                if take:
-                    out[name][s] = take
-                    left[s] -= take
-                    k -= take
+        out[name] = choose(left, round(shares[name] * total))
+        for s, k in out[name].items():
+            left[s] -= k
     out[names[-1]] = {s: m for s, m in left.items() if m}
     return out
 

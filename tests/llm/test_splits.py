@@ -60,6 +60,28 @@ def test_plan_uses_every_component():
     assert sum(s * m for s, m in p["test"].items()) == round(total * 0.1)
 
 
+@pytest.mark.parametrize("h", [{1: 8_400_000}, {5: 60_000_000}, {1: 200_000_000, 3: 5_000_000, 500: 20_000, 9_000_000: 1}])
+def test_plan_keeps_proportions_of_large_totals(h):
+    p = splits.plan(h, {"test": 0.1, "validation": 0.1, "train": 0.8})
+    assert {s: sum(x.get(s, 0) for x in p.values()) for s in h} == h
+    total = sum(s * m for s, m in h.items())
+    assert [sum(s * m for s, m in p[k].items()) for k in ("test", "validation")] == [round(total * 0.1)] * 2
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_choose_is_closest_in_parts(seed, monkeypatch):
+    """Where only the end of the total is searched at first, with and without a common divisor."""
+    monkeypatch.setattr(splits, "UNITS", 5)
+    rng = random.Random(seed)
+    g = 1 + seed % 4
+    h = {g * rng.randint(1, 30): rng.randint(1, 3) for _ in range(rng.randint(1, 4))}
+    target = rng.randint(1, 80 * g)
+    took = splits.choose(h, target)
+    assert all(k <= h[s] for s, k in took.items())
+    sums = {sum(s * k for s, k in zip(h, ks, strict=True)) for ks in itertools.product(*[range(m + 1) for m in h.values()])}
+    assert sum(s * k for s, k in took.items()) == min(sums, key=lambda s: (abs(s - target), s))
+
+
 STATES = "state_id bigint, domain_id string, network_id string"
 LINKS = "domain_id string, network_id string, related_network_id string, relation string"
 
