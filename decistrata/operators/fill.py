@@ -4,7 +4,8 @@ States and groups form a bipartite graph: a state is tied to its network, to its
 and to its domain. Observed values are clamped. A missing number starts as the weighted mean of its
 neighbours' means and is averaged again while the filled values of others flow through the shared
 groups; a missing network starts as the mean of the network distributions of states that look alike
-(pairs of structural values shared within a domain) and is updated the same way.
+(pairs of structural values shared within a domain) and is updated the same way. A state that no
+likeness reaches has the distribution of its domain's week and of its domain.
 
 Only sums per group travel: the observed part is aggregated once, the filled part per round, both
 with partial aggregation, and the sums are salted when they are joined back, so a network that holds
@@ -35,6 +36,7 @@ class Spread:
     salts: int = 8
     network_weight: float = 3.0
     time_weight: float = 1.0
+    domain_weight: float = 0.5  #: of the domain beside its week, where no likeness tells a network
     signed: float = 0.001  #: share of a feature's values below zero (codes and -1 aside) that shows it may be negative
     structure: tuple[str, ...] = ("nodes", "arcs", "hub_share")  #: of ``network_features``; states are alike that share two
 
@@ -106,12 +108,13 @@ def _salted(left: DataFrame, small: DataFrame, keys: list[str], salts: int, how:
 
 
 def fill_networks(tidied: DataFrame, spread: Spread = Spread()) -> DataFrame:
-    """``state_id, network, score`` for states without a network whose likeness to others tells one;
-    ties go to the smaller code. Score is the label's weight in the state's final distribution."""
+    """``state_id, network, score`` for every state without a network whose domain has known ones: by
+    likeness to others, else by its domain and time; ties go to the smaller code. Score is the label's
+    weight in the state's final distribution."""
     pairs = [(i, j) for i in range(len(spread.structure)) for j in range(i)]
     keys = F.array_compact(F.array(*[F.when(F.col(f"s{i}").isNotNull() & F.col(f"s{j}").isNotNull(), F.xxhash64(F.lit(i), F.lit(j), f"s{i}", f"s{j}")) for i, j in pairs]))
     edges = tidied.select("state_id", "domain", "network", F.explode(keys).alias("node"))
-    clamped = durable(edges.where(F.col("network").isNotNull()).groupBy("domain", "node", "network").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    clamped = durable(edges.where(F.col("network") >= 0).groupBy("domain", "node", "network").agg(F.count(F.lit(1)).cast("double").alias("w")))
     open_ = durable(edges.where(F.col("network").isNull()).select("state_id", "domain", "node"))
     now = clamped
     found = None
@@ -123,16 +126,43 @@ def fill_networks(tidied: DataFrame, spread: Spread = Spread()) -> DataFrame:
         found = votes.join(mass, "state_id").select("state_id", "network", (F.col("p") / F.col("m")).alias("p"))
         back = open_.join(found, "state_id").groupBy("domain", "node", "network").agg(F.sum("p").alias("w"))
         now = clamped.unionByName(back).groupBy("domain", "node", "network").agg(F.sum("w").alias("w"))
-    best = F.min_by(F.struct("network", "p"), F.struct((-F.round("p", 9)).alias("o"), "network"))
-    return found.groupBy("state_id").agg(best.alias("b")).select("state_id", F.col("b.network").alias("network"), F.col("b.p").alias("score"))
+    alike = durable(found.groupBy("state_id").agg(_best().alias("b")).select("state_id", F.col("b.network").alias("network"), F.col("b.p").alias("score")))
+    others = tidied.where(F.col("network").isNull() & F.col("domain").isNotNull()).select("state_id", "domain", "time").join(alike, "state_id", "left_anti")
+    times, whole = _group_networks(tidied, spread)
+    others = _salted(others, times.select("domain", "time", F.struct("network", "p").alias("t")), ["domain", "time"], spread.salts).join(whole.select("domain", F.struct("network", "p").alias("d")), "domain")
+    others = others.withColumn("b", F.coalesce("t", "d")).select("state_id", F.col("b.network").alias("network"), F.col("b.p").alias("score"))
+    return alike.unionByName(others)
+
+
+def _best() -> Column:
+    """Aggregate: network and weight of the likeliest; ties go to the smaller code."""
+    return F.min_by(F.struct("network", "p"), F.struct((-F.round("p", 9)).alias("o"), "network"))
+
+
+def _group_networks(tidied: DataFrame, spread: Spread) -> tuple[DataFrame, DataFrame]:
+    """``domain, time, network, p`` and ``domain, network, p``: the likeliest network of each domain's week,
+    the domain counting too, and of each domain alone, among observed networks. A network that the week
+    lacks can be its likeliest only if it is the domain's, so no other is tried."""
+    seen = durable(tidied.where((F.col("network") >= 0) & F.col("domain").isNotNull()).groupBy("domain", "time", "network").agg(F.count(F.lit(1)).alias("n")))
+    overall = seen.groupBy("domain", "network").agg(F.sum("n").alias("n"))
+    overall = durable(overall.join(overall.groupBy("domain").agg(F.sum("n").alias("t")), "domain").select("domain", "network", (F.col("n") / F.col("t")).alias("p")))
+    whole = overall.groupBy("domain").agg(_best().alias("b")).select("domain", "b.*")
+    weeks = seen.where(F.col("time").isNotNull())
+    total = weeks.groupBy("domain", "time").agg(F.sum("n").alias("t"))
+    more = total.join(whole, "domain").select("domain", "time", "network", F.lit(0).cast("bigint").alias("n"))
+    each = weeks.unionByName(more).groupBy("domain", "time", "network").agg(F.sum("n").alias("n"))
+    each = each.join(total, ["domain", "time"]).join(overall.withColumnRenamed("p", "o"), ["domain", "network"])
+    p = (F.col("n") / F.col("t") * spread.time_weight + F.col("o") * spread.domain_weight) / (spread.time_weight + spread.domain_weight)
+    times = each.select("domain", "time", "network", p.alias("p")).groupBy("domain", "time").agg(_best().alias("b")).select("domain", "time", "b.*")
+    return times, whole
 
 
 def fill(states: DataFrame, catalog: DataFrame, domains: DataFrame, groups: Sequence[str] = ("demand_features", "inventory_features"), spread: Spread = Spread()) -> DataFrame:
     """``state_id, field, value, label, filled, score``: one row per missing field of a state.
 
     ``field`` is ``network_id`` (filled by ``label``, the canonical name) or a feature's full name
-    (filled by ``value``). ``filled`` is false where no neighbour has a value; the row still marks the
-    field as missing. States of no known domain have no listed features and so only ``network_id``.
+    (filled by ``value``). ``filled`` is false where no state of the domain has a value; the row still
+    marks the field as missing. States of no known domain have no listed features and so only ``network_id``.
     """
     features = catalog_features(catalog, groups)
     n = len(features)

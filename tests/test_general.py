@@ -211,6 +211,19 @@ def test_fill(spark, catalog, domains):
     assert got[3, "demand_features.mean_weekly"]["value"] > 11
 
 
+def test_fill_networks_without_likeness(spark, catalog, domains):
+    """A state of a known domain gets a network from its week and domain where its structure tells none."""
+    far = "NW-1234567890123456-ZZ"  # too long a number to be supplied
+    rows = [(k, "toy_outlet", "NW-1-AA", "2011-W01", None, None, SHAPE) for k in range(3)] + [(k, "toy_outlet", "NW-2-BB", "2011-W02", None, None, OTHER) for k in (3, 4)]
+    rows += [(k, "toy_outlet", far, "2011-W02", None, None, {"nodes": 7.0, "arcs": 7.0}) for k in range(5, 12)]
+    rows += [(20, "toy_outlet", None, "2011-W02", None, None, None), (21, "toy_outlet", None, "2011-W09", None, None, {}), (22, "toy_outlet", None, None, None, None, {"nodes": 6.0}), (23, "nowhere", None, "2011-W02", None, None, None), (24, "toy_outlet", None, "2011-W01", None, None, OTHER), (25, "toy_outlet", "?", "2011-W01", None, None, {"nodes": 7.0, "arcs": 7.0})]
+    got = {r["state_id"]: r for r in fill.fill(spark.createDataFrame(rows, STATES), catalog, domains).where("field = 'network_id'").collect()}
+    assert {k: r["label"] for k, r in got.items()} == {20: "2-BB", 21: "1-AA", 22: "1-AA", 23: None, 24: "2-BB", 25: "1-AA"}
+    assert all(r["filled"] == (k != 23) for k, r in got.items())
+    # the week has only NW-2-BB; the domain, at half the week's weight, has it twice in five
+    assert got[20]["score"] == pytest.approx((1 + 0.5 * 0.4) / 1.5) and got[21]["score"] == pytest.approx(0.6) and got[24]["score"] == 1.0
+
+
 def test_empty_catalog(spark, catalog, domains):
     states = spark.createDataFrame([(1, "toy_outlet", "NW-1-AA", "2011-W01", {"cv": 0.4}, None, SHAPE), (2, "toy_outlet", "?", None, None, None, SHAPE)], STATES)
     got = [(r["state_id"], r["field"], r["label"], r["filled"]) for r in fill.fill(states, catalog.limit(0), domains).collect()]
