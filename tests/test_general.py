@@ -224,6 +224,21 @@ def test_fill_networks_without_likeness(spark, catalog, domains):
     assert got[20]["score"] == pytest.approx((1 + 0.5 * 0.4) / 1.5) and got[21]["score"] == pytest.approx(0.6) and got[24]["score"] == 1.0
 
 
+def test_fill_converges(spark, catalog, domains):
+    """Filled numbers are near the propagation's limit, also where a network has none of its own."""
+    rows = [(1, "toy_outlet", "NW-1-AA", "2011-W01", {"cv": 1.0}, None, SHAPE), (2, "toy_outlet", "NW-2-BB", "2011-W02", {"cv": 9.0}, None, OTHER)]
+    rows += [(10 + k, "toy_outlet", "NW-3-CC", f"2011-W0{1 + k % 2}", None, None, None) for k in range(6)] + [(20 + k, "toy_outlet", "NW-2-BB", "2011-W01", None, None, OTHER) for k in range(3)]
+    df = spark.createDataFrame(rows, STATES)
+
+    def cv(spread):
+        got = fill.fill(df, catalog, domains, spread=spread).where("field = 'demand_features.cv'").collect()
+        return {r["state_id"]: r["value"] for r in got}
+
+    limit, got = cv(fill.Spread(rounds=20, tolerance=0.0)), cv(fill.Spread())
+    assert set(got) == set(limit) == {*range(10, 16), 20, 21, 22}
+    assert all(abs(got[k] / limit[k] - 1) < 0.02 for k in got)
+
+
 def test_empty_catalog(spark, catalog, domains):
     states = spark.createDataFrame([(1, "toy_outlet", "NW-1-AA", "2011-W01", {"cv": 0.4}, None, SHAPE), (2, "toy_outlet", "?", None, None, None, SHAPE)], STATES)
     got = [(r["state_id"], r["field"], r["label"], r["filled"]) for r in fill.fill(states, catalog.limit(0), domains).collect()]
