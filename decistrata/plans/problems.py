@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import fill, profile, widen
-from ..sources import table
+from ..sources import scratch, table
 from . import problem_sql
 
 NUMERIC = ["beta", "Gamma", "lambda_R"]
@@ -47,16 +47,19 @@ def p4_fills(spark: SparkSession, d: str) -> DataFrame:
     return _fill(spark, d)
 
 
-def _deltas(spark: SparkSession, d: str) -> DataFrame:
-    return widen.deltas(table(spark, d, "feature_rows"), table(spark, d, "feature_catalog"), table(spark, d, "domains"))
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """Deltas of all batches, written as a sorted run that compaction reads."""
+    log = scratch(spark)
+    widen.write_run(widen.deltas(table(spark, d, "feature_rows"), table(spark, d, "feature_catalog"), table(spark, d, "domains")), log)
+    return widen.read_runs(spark, log)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return widen.unclear_cells(_deltas(spark, d), widen.feature_types(table(spark, d, "feature_catalog")))
+    return widen.unclear_cells(_runs(spark, d), widen.feature_types(table(spark, d, "feature_catalog")))
 
 
 def p5_wide(spark: SparkSession, d: str) -> DataFrame:
-    return widen.wide(widen.compact(_deltas(spark, d)), widen.feature_types(table(spark, d, "feature_catalog")), table(spark, d, "domains"))
+    return widen.wide(widen.compact(_runs(spark, d)), widen.feature_types(table(spark, d, "feature_catalog")), table(spark, d, "domains"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_exact, p2_drift, p4_found, p4_fills, p5_found, p5_wide)}

@@ -31,14 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back.
-
-    A lost executor then costs a read and no recomputation, and plans that use the result several
-    times don't repeat it. Parquet is a tenth of what a checkpoint of rows would take. The tables of
-    an application lie in one folder, which goes when the application ends.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder. All of an application lie in one folder, which goes when the
+    application ends."""
     sc = spark.sparkContext
     folder = f"{shared_dir(spark).rstrip('/')}/tables/{sc.applicationId}"
     if folder not in _folders:
@@ -47,9 +42,18 @@ def durable(df: DataFrame) -> DataFrame:
         fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
         fs.mkdirs(path)
         fs.deleteOnExit(path)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it back.
+
+    A lost executor then costs a read and no recomputation, and plans that use the result several
+    times don't repeat it. Parquet is a tenth of what a checkpoint of rows would take.
+    """
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded(df: DataFrame, rows: int = 20_000) -> DataFrame:

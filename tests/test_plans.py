@@ -39,6 +39,15 @@ def test_rows_are_shuffled_once(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(entity_id#\d+L, batch#\d+, feature#\d+L", text)) == 1
 
 
+def test_wide_queries_compact_sorted_runs(spark):
+    for name in ("p5_found", "p5_wide"):
+        files = [f for f in problems.QUERIES[name](spark, DATA).inputFiles() if "/tables/" in f]
+        assert files and not any("feature_rows" in f for f in problems.QUERIES[name](spark, DATA).inputFiles()), name
+        for f in files:
+            rows = [tuple(r) for r in spark.read.parquet(f).coalesce(1).select("entity_id", "batch").collect()]
+            assert rows == sorted(rows), name
+
+
 def test_profile_has_no_cartesian(spark):
     assert "Cartesian" not in plan(problems.p2_found(spark, DATA)) and "NestedLoop" not in plan(problems.p2_found(spark, DATA))
 
