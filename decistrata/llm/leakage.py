@@ -3,7 +3,7 @@
 Passages and documents are cut into windows of ``window`` words and each window gets a 64-bit
 SimHash of its words. A passage that is held in large part, in whatever order of sentences, shares
 unbroken runs of words with the document, so some document window differs from a passage window in
-``radius`` bits at most. The fingerprint is cut into radius+1 blocks: two fingerprints within the
+``radius`` bits at most. The fingerprint is cut into radius+1 blocks, four at least: two fingerprints within the
 radius agree in one block at least, so looking up every block finds all of them. Candidates are then
 verified by the exact share of the passage's weighted word pairs that the document holds, where a
 pair's weight is one over the number of passages that have it: pairs of the mould that all puzzles
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..sources import ship
 from .text import Hasher, plain, words_of
 
-BLOCK_BITS = 16
+BLOCK_BITS = 16  #: of a block, at most
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,7 +36,7 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 class Search:
     window: int = 8  #: words of a window, a power of two; passages are some 5 to 10 windows long
     stride: int = 1  #: of document windows; at 1 no unbroken run of ``window`` shared words is missed
-    radius: int = 3  #: bits
+    radius: int = 3  #: bits, below 64
     share: float = 0.41  #: weighted share of a passage's word pairs from which it counts as held
     block: int = 4000  #: passages of a pass over the documents
     words: int = 150_000  #: words of documents that are worked on at once
@@ -80,15 +80,19 @@ class Index:
             owners.append(np.full(len(f), len(self.ids) - 1))
         self.prints = np.concatenate(prints) if prints else np.empty(0, np.uint64)
         self.owners = np.concatenate(owners) if owners else np.empty(0, np.int64)
+        if not 0 <= search.radius < 64:
+            raise ValueError("radius must be 0 to 63 bits")
+        n = max(64 // BLOCK_BITS, search.radius + 1)
+        self.cuts = [64 * b // n for b in range(n + 1)]
         self.blocks = []
-        for b in range(64 // BLOCK_BITS):
+        for b in range(n):
             v = self.block_of(self.prints, b)
             order = np.argsort(v, kind="stable")
             self.blocks.append((np.searchsorted(v[order], np.arange((1 << BLOCK_BITS) + 1)).astype(np.int64), order))
 
-    @staticmethod
-    def block_of(prints: np.ndarray, b: int) -> np.ndarray:
-        return ((prints >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+    def block_of(self, prints: np.ndarray, b: int) -> np.ndarray:
+        width = self.cuts[b + 1] - self.cuts[b]
+        return ((prints >> np.uint64(self.cuts[b])) & np.uint64((1 << width) - 1)).astype(np.int64)
 
     def near(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(position in ``prints``, passage) of all fingerprints within the radius."""

@@ -77,6 +77,18 @@ def test_candidates_lose_nothing_within_radius():
     assert set(zip(at.tolist(), who.tolist(), strict=True)) == set(map(tuple, brute.tolist()))
 
 
+def test_larger_radius_loses_nothing():
+    """Bits that differ are spread over the fingerprint, so that four blocks would all differ."""
+    text = " ".join(f"word{k}" for k in range(40))
+    for radius in (4, 6, 11):
+        index = leakage.Index([(1, text)], leakage.Search(radius=radius), dict.fromkeys(leakage.pairs_of(Hasher().array(words_of(plain(text)))).tolist(), 1))
+        flip = sum(1 << (64 * k // radius) for k in range(radius))
+        at, _ = index.near(index.prints ^ np.uint64(flip), radius)
+        assert set(at.tolist()) == set(range(len(index.prints)))
+    with pytest.raises(ValueError):
+        leakage.Index([], leakage.Search(radius=64), {})
+
+
 def test_fingerprints():
     h = Hasher().array(words_of(plain("one two three four five six seven eight nine ten")))
     f = leakage.fingerprints(h, 8)
