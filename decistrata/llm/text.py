@@ -18,7 +18,7 @@ LOOKALIKES = {
 }
 _LOOK = str.maketrans(LOOKALIKES)
 _MARKS = regex.compile(r"[\p{Mn}\p{Cf}]+")
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _BREAK = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[>|*\s]*(?=[^\W\d_])")
 _ASCII = re.compile(r"[a-z0-9]+")
 _WORDS = regex.compile(r"\p{Han}|[^\W_\p{Han}]+")

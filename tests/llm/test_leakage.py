@@ -1,7 +1,12 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from compare import DATA
 
 from decistrata.llm import leakage
 from decistrata.llm.text import Hasher, plain, words_of
@@ -54,10 +59,92 @@ def test_found(spark, cases):
     i = spark.createDataFrame(list(items.items()), "item_id bigint, passage string").selectExpr("*", "'x' as text")
     got = {(r["doc_id"], r["item_id"]) for r in leakage.held_passages(d, i).collect()}
     assert got == true
-    blocks = {(r["doc_id"], r["item_id"]) for r in leakage.held_passages(d, i, leakage.Search(block=7, words=300)).collect()}
+    blocks = {(r["doc_id"], r["item_id"]) for r in leakage.held_passages(d, i, leakage.Search(block=200, words=300)).collect()}
     assert blocks == true
 
 
+def scan(items, docs, search=leakage.Search()):
+    """Pairs that one pass over the documents finds, without Spark."""
+    table = pa.table({"doc_id": list(docs), "text": list(docs.values())})
+    out = {}
+    for block in leakage.indexes(sorted(items.items()), search):
+        for b in leakage._scan(iter(table.to_batches()), block, search):
+            out |= {(d, i): s for d, i, s in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    return out
+
+
+def brute(items, docs, search=leakage.Search()):
+    """Share of every passage in every stretch of every document, from the definition."""
+    words = {i: words_of(plain(t)) for i, t in items.items()}
+    seen = Counter(p for w in words.values() for p in set(zip(w, w[1:], strict=False)))
+    out = {}
+    for d, text in docs.items():
+        w = words_of(plain(text))
+        for i, own in words.items():
+            weight = [(math.log((len(words) + 1) / seen[p]) / math.log(len(words) + 1)) ** 2 for p in zip(own, own[1:], strict=False)]
+            most = [max(weight[max(k - 1, 0) : k + 1]) for k in range(len(own))]
+            size = int(search.spread * len(own))
+            best = 0.0
+            for first in range(max(len(w) - size, 0) + 1):
+                part = w[first : first + size]
+                runs = set(zip(part, part[1:], part[2:], strict=False))
+                pairs = {q for k in range(len(own) - 2) if tuple(own[k : k + 3]) in runs for q in (k, k + 1)}
+                best = max(best, sum(max([weight[q] for q in (k - 1, k) if q in pairs], default=0.0) for k in range(len(own))) / sum(most))
+            if best > search.share:
+                out[d, i] = best
+    return out
+
+
+def test_all_that_the_definition_holds():
+    """The filter loses nothing, and pieces strewn over more than the stretch don't add up."""
+    rng = random.Random(3)
+    items = {k: puzzle(rng) for k in range(25)}
+    docs = {}
+    for k, s in items.items():
+        w = " ".join(s).split()
+        for j in range(12):
+            part = [x if rng.random() > j / 40 else rng.choice(w) for x in w]
+            docs[k * 100 + j] = " ".join(part[: rng.randint(len(w) // 3, len(w))])
+        docs[k * 100 + 20] = (" ".join(puzzle(rng)) + " ").join(s)
+        docs[k * 100 + 21] = (FILL * 3).join(s)
+    texts = {k: " ".join(s) for k, s in items.items()}
+    for search in (leakage.Search(spread=2.0), leakage.Search()):
+        got, want = scan(texts, docs, search), brute(texts, docs, search)
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+        assert 40 < len(got) < len(docs)
+
+
+@pytest.fixture(scope="module")
+def passages():
+    return {r["item_id"]: r["passage"] for r in pq.read_table(f"{DATA}/eval_items.parquet").to_pylist()}
+
+
+@pytest.mark.parametrize("k", range(4, 13))
+def test_every_kth_word_changed(k, passages):
+    """Recall by the kind of change, over all test items."""
+    docs = {n: " ".join(w if (j + 1) % k else "also" for j, w in enumerate(words_of(plain(t)))) for n, t in passages.items()}
+    got = scan(passages, docs)
+    assert sum((n, n) in got for n in passages) >= (0.97 if k == 4 else 1.0) * len(passages) and all(d == i for d, i in got)
+
+
+def test_long_text_with_one_quotation():
+    rng = random.Random(5)
+    items = {n: puzzle(rng) for n in range(60)}
+    text = FILL * 200 + " ".join(s for _ in range(3000) for s in puzzle(rng)) + items[4][0] + FILL * 200
+    for n in range(60):  # a sentence of each, far apart
+        text += items[n][0] + FILL * 30 + items[n][1] + FILL * 30
+    texts = {n: " ".join(s) for n, s in items.items()}
+    assert scan(texts, {1: text}) == {}
+    assert set(scan(texts, {1: text + " ".join(items[9][1:]) + FILL * 200})) == {(1, 9)}
+
+
+def test_a_short_passage_changes_no_other(cases):
+    items, docs, _ = cases
+    alone, beside = scan(items, docs), scan({**items, 800: "lamp oil", 801: "zzz", 802: "Two short words"}, {**docs, 7777: "We sell Lamp Oil."})
+    assert {k: v for k, v in beside.items() if k[1] < 800}.keys() == alone.keys()
+    assert (7777, 800) in beside and not any(i in (801, 802) for _, i in beside)
+
+
 def test_candidates_lose_nothing_within_radius():
     """Multi-index lookup against comparing every pair of fingerprints."""
     rng = np.random.default_rng(1)
@@ -66,37 +153,34 @@ def test_candidates_lose_nothing_within_radius():
     for _ in range(3):
         noise ^= np.uint64(1) << rng.integers(0, 64, 4000, dtype=np.uint64)
     noise = np.concatenate([noise, rng.integers(0, 2**63, 2000, dtype=np.uint64)])
-    index = leakage.Index([], leakage.Search(), {})
-    index.prints, index.owners, index.blocks = base, np.arange(200), []
-    for b in range(4):
-        v = index.block_of(base, b)
-        order = np.argsort(v, kind="stable")
-        index.blocks.append((np.searchsorted(v[order], np.arange(65537)).astype(np.int64), order))
-    at, who = index.near(noise, 3)
+    index = leakage.Index([], 3, leakage.Search(), {}, {})
+    index._lookup(base, np.arange(200))
     brute = np.argwhere(np.bitwise_count(noise[:, None] ^ base[None, :]) <= 3)
-    assert set(zip(at.tolist(), who.tolist(), strict=True)) == set(map(tuple, brute.tolist()))
+    for chunk in (1 << 19, 1000):
+        at, who = index.near(noise, chunk)
+        assert set(zip(at.tolist(), who.tolist(), strict=True)) == set(map(tuple, brute.tolist()))
 
 
 def test_larger_radius_loses_nothing():
     """Bits that differ are spread over the fingerprint, so that four blocks would all differ."""
     text = " ".join(f"word{k}" for k in range(40))
     for radius in (4, 6, 11):
-        index = leakage.Index([(1, text)], leakage.Search(radius=radius), dict.fromkeys(leakage.pairs_of(Hasher().array(words_of(plain(text)))).tolist(), 1))
+        ((index,),) = leakage.indexes([(1, text)], leakage.Search(radius=radius))
         flip = sum(1 << (64 * k // radius) for k in range(radius))
-        at, _ = index.near(index.prints ^ np.uint64(flip), radius)
+        at, _ = index.near(index.prints ^ np.uint64(flip))
         assert set(at.tolist()) == set(range(len(index.prints)))
     with pytest.raises(ValueError):
-        leakage.Index([], leakage.Search(radius=64), {})
+        leakage.Index([], 3, leakage.Search(radius=64), {}, {})
 
 
 def test_fingerprints():
     h = Hasher().array(words_of(plain("one two three four five six seven eight nine ten")))
-    f = leakage.fingerprints(h, 8)
-    bits = (h[1:9, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    want = sum(int(s >= 4) << k for k, s in enumerate(bits.sum(axis=0).tolist()))
-    assert len(f) == 3
-    own = np.packbits(np.unpackbits(np.array([want], dtype=np.uint64).view(np.uint8), bitorder="little").reshape(8, 8)[:, ::-1].reshape(-1)).view(np.uint64)[0]
-    assert f[1] == own
+    for window in (1, 2, 3, 4, 8):
+        f = leakage.fingerprints(h, window)
+        bits = (h[1 : 1 + window, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+        assert len(f) == 11 - window
+        assert int(f[1]) == sum(int(2 * s >= window) << k for k, s in enumerate(bits.sum(axis=0).tolist()))
+        assert len(leakage.fingerprints(h[: window - 1], window)) == 0
 
 
 def test_nothing_to_find(spark, cases):
