@@ -1,33 +1,39 @@
 """Filling missing values by label propagation over group and similarity edges.
 
-States and groups form a bipartite graph: a state is tied to its network, to its domain and time,
-and to its domain. Observed values are clamped. A missing number starts as the weighted mean of its
-neighbours' means and is averaged again while the filled values of others flow through the shared
-groups, until none changes by more than a stated part; a missing network starts as the mean of the network distributions of states that look alike
-(pairs of structural values shared within a domain) and is updated the same way. A state that no
-likeness reaches has the distribution of its domain's week and of its domain.
-
-Only sums per group travel: the observed part is aggregated once, the filled part per round, both
-with partial aggregation, and the sums are salted when they are joined back, so a network that holds
-a third of all states is neither gathered in one task nor read by one.
+States and groups form a bipartite graph: a state is tied to its network, to its domain and week, and to
+the states of its domain that are built alike (similarity edges). Observed values are clamped. A missing
+number is the weighted mean of its neighbours' means, averaged again while the filled values of others
+flow through the shared groups, until none changes by more than a stated part; a missing network is the
+mean of the network distributions of states that look alike (pairs of structural values shared within a
+domain), updated the same way. A state that no likeness reaches has the distribution of its domain's week
+and of its domain.
+
+All states of one network, week and likeness that lack a feature get the same value for it, and all
+states of one likeness the same network. So what is propagated is one row for each such case with the
+number of its states, whatever their number; the observed part is summed once per group. A network that
+holds a third of all states is neither gathered in one task nor joined by one.
+
+What can't be a measurement is told from the data. The typical size of a feature is the geometric mean of
+its numbers other than zero. No measurement are NaN and infinities; numbers more than ``beyond`` times the
+typical size; a number that is far out (``far`` times the typical size) in two features or more, as codes
+are and peaks are not; and numbers below zero where the five most frequent of them make up half of all
+below zero or more, as codes do and measurements do not. Any other number stays, however large.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import network_key, time_key, with_domain
 from ..functions.values import let
 from ..sources import durable
 
-#: Codes that stand for "no measurement". Fixed values.
-CODES = (-9999.0, -999.0)
-#: From here on a number can't be a measurement of stock, demand, shares or days.
-IMPOSSIBLE = 9_999_999.0
+NETWORK = -1  #: place of the network among the fields; features have 0 and more
 
 
 @dataclass(frozen=True)
@@ -35,28 +41,29 @@ class Spread:
     rounds: int = 40  #: propagation rounds of numbers, at most;
     tolerance: float = 0.005  #: they end when no filled number changes by this part any more
     network_rounds: int = 2  #: propagation rounds of networks
-    salts: int = 8
+    salts: int = 16
     network_weight: float = 3.0
     time_weight: float = 1.0
+    like_weight: float = 1.0
     domain_weight: float = 0.5  #: of the domain beside its week, where no likeness tells a network
-    signed: float = 0.001  #: share of a feature's values below zero (codes and -1 aside) that shows it may be negative
+    far: float = 1e3  #: typical sizes from which a number that recurs in two features is a code
+    beyond: float = 1e9  #: typical sizes from which no number is a measurement
     structure: tuple[str, ...] = ("nodes", "arcs", "hub_share")  #: of ``network_features``; states are alike that share two
 
 
-def plausible(v: Column, signed: Column | bool) -> Column:
-    """``v`` if it can be a measurement, else null: no NaN, infinity, code, impossible size, and nothing
-    below zero where the feature is never negative. Large but possible values stay."""
-    v = F.when(~F.isnan(v) & (F.abs(v) < IMPOSSIBLE) & ~v.isin(*CODES), v)
-    return v if signed is True else F.when((v >= 0) | F.lit(signed), v)
+@dataclass(frozen=True)
+class Possible:
+    """What can be a measurement, by place of the feature."""
 
+    size: list[float]
+    codes: list[float]
+    signed: set[int]
+    beyond: float
 
-def signed_features(tidied: DataFrame, features: Sequence[tuple[str, str]], spread: Spread = Spread()) -> set[int]:
-    """Positions of the features that may be negative, by the share of states with such a value.
-    One aggregated row comes to the driver."""
-    aggs = [F.count(F.when((F.col(f"f{i}") < 0) & (F.col(f"f{i}") != -1), 1)).alias(f"neg{i}") for i in range(len(features))]
-    aggs += [F.count(f"f{i}").alias(f"all{i}") for i in range(len(features))]
-    row = tidied.agg(*aggs).first() if aggs else None
-    return {i for i in range(len(features)) if row[f"neg{i}"] > spread.signed * max(row[f"all{i}"], 1)}
+    def of(self, v: Column, i: int) -> Column:
+        fine = F.abs(v) <= self.beyond * self.size[i] if math.isfinite(self.size[i]) else F.lit(True)
+        fine = fine & ~v.isin(*self.codes) if self.codes else fine
+        return F.when(fine if i in self.signed else fine & (v >= 0), v)
 
 
 def catalog_features(catalog: DataFrame, groups: Sequence[str]) -> list[tuple[str, str]]:
@@ -77,30 +84,53 @@ def network_name(code: Column) -> Column:
     return F.when(code >= 0, F.concat(F.floor(code / 676).cast("string"), F.lit("-"), letter(F.floor(F.pmod(code, F.lit(676)) / 26)), letter(F.pmod(code, F.lit(26)))))
 
 
-def tidy_states(states: DataFrame, catalog: DataFrame, domains: DataFrame, groups: Sequence[str] = ("demand_features", "inventory_features"), spread: Spread = Spread()) -> DataFrame:
-    """One row per ``state_id``: ``domain, network, time`` as numbers, ``listed`` (features the catalog
-    lists for the domain), ``f0..`` (values that could be measurements if negative ones can; null if none) and
-    ``s0..`` (structural values). A value counts as held if any delivery of the state has it. Rows without
-    ``state_id`` name no state and are left out. All that is aggregated is a number, so it is hashed and
-    not sorted, and the maps are read once."""
-    features = catalog_features(catalog, groups)
-    s = with_domain(states.where(F.col("state_id").isNotNull()).select("state_id", "domain_id", "network_id", "time_id", *dict.fromkeys([*groups, "network_features"])), domains)
-    values = [plausible(F.col(g)[n], True).alias(f"f{i}") for i, (g, n) in enumerate(features)]
-    alike = [plausible(F.col("network_features")[x], False).alias(f"s{i}") for i, x in enumerate(spread.structure)]
+def delivered(states: DataFrame, domains: DataFrame, features: Sequence[tuple[str, str]], spread: Spread = Spread()) -> DataFrame:
+    """One row per delivery of a state: ``state_id``, ``domain, network, time`` as numbers, ``f0..``
+    (features) and ``s0..`` (structural values), finite or null. The maps are read here and nowhere else.
+    Rows without ``state_id`` name no state and are left out."""
+    s = with_domain(states.where(F.col("state_id").isNotNull()).select("state_id", "domain_id", "network_id", "time_id", *dict.fromkeys([*(g for g, _ in features), "network_features"])), domains)
+    finite = lambda v: F.when(F.abs(v) < float("inf"), v)  # noqa: E731  (NaN is greater)
     week = let(time_key(F.col("time_id")), lambda t: F.substring(t, 1, 4).cast("int") * 100 + F.substring(t, 7, 2).cast("int"))
     number = F.when(F.col("domain").isNotNull(), F.xxhash64("domain"))
-    s = s.select("state_id", number.alias("domain"), let(network_key(F.col("network_id")), network_code).alias("network"), week.alias("time"), *values, *alike)
-    cols = ["domain", "network", "time", *[f"f{i}" for i in range(len(features))], *[f"s{i}" for i in range(len(alike))]]
-    s = s.groupBy("state_id").agg(*[F.max(c).alias(c) for c in cols])
-    c = with_domain(catalog.where(F.col("feature_group").isin(*groups)).select("domain_id", "feature_group", "feature_name"), domains).where(F.col("domain").isNotNull())
-    c = c.groupBy(F.xxhash64("domain").alias("domain")).agg(F.collect_set(F.concat_ws(".", "feature_group", "feature_name")).alias("listed"))
-    return s.join(c, "domain", "left")
-
-
-def missing_fields(features: Sequence[tuple[str, str]]) -> Column:
-    """Array of the names of a state's missing fields."""
-    lacking = [F.when(F.array_contains("listed", f"{g}.{n}") & F.col(f"f{i}").isNull(), F.lit(f"{g}.{n}")) for i, (g, n) in enumerate(features)]
-    return F.array_compact(F.array(F.when(F.col("network").isNull(), F.lit("network_id")), *lacking))
+    values = [finite(F.col(g)[n]).alias(f"f{i}") for i, (g, n) in enumerate(features)]
+    values += [finite(F.col("network_features")[x]).alias(f"s{i}") for i, x in enumerate(spread.structure)]
+    return s.select("state_id", number.alias("domain"), let(network_key(F.col("network_id")), network_code).alias("network"), week.alias("time"), *values)
+
+
+def possible(rows: DataFrame, n: int, spread: Spread = Spread()) -> Possible:
+    """The rule of the module's docstring for the columns ``f0..`` and ``s0..`` of delivered states. Only
+    one row of sizes, the codes and a row per feature come to the driver."""
+    cols = [*[f"f{i}" for i in range(n)], *[f"s{i}" for i in range(len(spread.structure))]]
+    sizes = rows.agg(*[F.exp(F.avg(F.when(F.col(c) != 0, F.ln(F.abs(c))))) for c in cols]).first()
+    size = [math.inf if x is None else x for x in sizes]
+    odd = [F.when((F.col(c) < 0) | (F.abs(c) > spread.far * size[i]), F.struct(F.lit(i).alias("i"), F.col(c).alias("v"), (F.abs(c) > spread.far * size[i]).alias("out"), (F.abs(c) <= spread.beyond * size[i]).alias("near"))) for i, c in enumerate(cols)]
+    odd = durable(rows.select(F.explode(F.array_compact(F.array(*odd))).alias("o")).select("o.*").groupBy("i", "v", "out", "near").agg(F.count(F.lit(1)).alias("n")))
+    codes = sorted(r[0] for r in odd.where(F.col("out") & (F.col("i") < n)).groupBy("v").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("v").collect())
+    below = odd.where((F.col("v") < 0) & F.col("near") & ~F.col("v").isin(*codes)) if codes else odd.where((F.col("v") < 0) & F.col("near"))
+    top = below.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "v"))).where(F.col("r") <= 5).groupBy("i").agg(F.sum("n").alias("top"))
+    signed = below.groupBy("i").agg(F.sum("n").alias("n")).join(top, "i").where(2 * F.col("top") < F.col("n"))
+    return Possible(size, codes, {r[0] for r in signed.select("i").collect()}, spread.beyond)
+
+
+def tidy_states(rows: DataFrame, can: Possible, n: int, spread: Spread = Spread()) -> DataFrame:
+    """One row per ``state_id`` of delivered rows, with what can be measurements. A value counts as held
+    if any delivery of the state has it. ``like`` is a number for the state's structure, if known. All
+    that is aggregated is a number, so it is hashed and not sorted."""
+    k = len(spread.structure)
+    values = [can.of(F.col(f"f{i}"), i).alias(f"f{i}") for i in range(n)] + [can.of(F.col(f"s{i}"), n + i).alias(f"s{i}") for i in range(k)]
+    s = rows.select("state_id", "domain", "network", "time", *values)
+    s = s.groupBy("state_id").agg(*[F.max(c).alias(c) for c in s.columns if c != "state_id"])
+    known = [F.col(f"s{i}").isNotNull() for i in range(k)]
+    whole = F.lit(bool(k)) if not k else known[0]
+    for c in known[1:]:
+        whole = whole & c
+    return s.withColumn("like", F.when(whole, F.xxhash64(*[f"s{i}" for i in range(k)])) if k else F.lit(None).cast("bigint"))
+
+
+def listed_features(catalog: DataFrame, domains: DataFrame, features: Sequence[tuple[str, str]]) -> DataFrame:
+    """``domain, l0..``: which features the catalog lists for a domain; a row per domain."""
+    c = with_domain(catalog.select("domain_id", "feature_group", "feature_name"), domains).where(F.col("domain").isNotNull())
+    return c.groupBy(F.xxhash64("domain").alias("domain")).agg(*[F.max((F.col("feature_group") == g) & (F.col("feature_name") == m)).alias(f"l{i}") for i, (g, m) in enumerate(features)])
 
 
 def _salted(left: DataFrame, small: DataFrame, keys: list[str], salts: int, how: str = "left") -> DataFrame:
@@ -109,42 +139,48 @@ def _salted(left: DataFrame, small: DataFrame, keys: list[str], salts: int, how:
     return left.withColumn("_salt", F.pmod(F.xxhash64("state_id"), F.lit(salts)).cast("int")).join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def _best() -> Column:
+    """Aggregate: network and weight of the likeliest; ties go to the smaller code."""
+    return F.min_by(F.struct("network", "p"), F.struct((-F.round("p", 9)).alias("o"), "network"))
+
+
+def _moved(old: Column, new: Column) -> Column:
+    """Change as a part of the larger value; 1 for a value that is new, null where there is none."""
+    gap = F.abs(new - old)
+    return F.when(new.isNotNull() & old.isNull(), 1.0).when(gap == 0, 0.0).otherwise(gap / F.greatest(F.abs(old), F.abs(new)))
+
+
 def fill_networks(tidied: DataFrame, spread: Spread = Spread()) -> DataFrame:
     """``state_id, network, score`` for every state without a network whose domain has known ones: by
     likeness to others, else by its domain and time; ties go to the smaller code. Score is the label's
-    weight in the state's final distribution."""
-    pairs = [(i, j) for i in range(len(spread.structure)) for j in range(i)]
+    weight in the state's final distribution. Votes are worked out once for each likeness."""
+    k = len(spread.structure)
+    shape = [f"s{i}" for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i)]
     keys = F.array_compact(F.array(*[F.when(F.col(f"s{i}").isNotNull() & F.col(f"s{j}").isNotNull(), F.xxhash64(F.lit(i), F.lit(j), f"s{i}", f"s{j}")) for i, j in pairs]))
-    edges = tidied.select("state_id", "domain", "network", F.explode(keys).alias("node"))
-    clamped = durable(edges.where(F.col("network") >= 0).groupBy("domain", "node", "network").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    open_ = durable(edges.where(F.col("network").isNull()).select("state_id", "domain", "node"))
+    shapes = tidied.where((F.col("network") >= 0) | F.col("network").isNull()).groupBy("domain", *shape, "network").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    edges = shapes.select("domain", F.xxhash64("domain", *shape).alias("shape"), "network", "c", F.explode(keys).alias("node"))
+    edges = durable(edges)
+    open_ = edges.where(F.col("network").isNull()).select("domain", "node", "shape", "c")
+    wanted = open_.select("domain", "node").distinct()
+    clamped = durable(edges.where(F.col("network").isNotNull()).join(wanted, ["domain", "node"], "left_semi").groupBy("domain", "node", "network").agg(F.sum("c").alias("w")))
     now = clamped
     found = None
     for _ in range(spread.network_rounds):
         total = now.groupBy("domain", "node").agg(F.sum("w").alias("t"))
         dist = now.join(total, ["domain", "node"]).select("domain", "node", "network", (F.col("w") / F.col("t")).alias("p"))
-        votes = _salted(open_, dist, ["domain", "node"], spread.salts, "inner").groupBy("state_id", "network").agg(F.sum("p").alias("p"))
-        mass = votes.groupBy("state_id").agg(F.sum("p").alias("m"))
-        found = votes.join(mass, "state_id").select("state_id", "network", (F.col("p") / F.col("m")).alias("p"))
-        back = open_.join(found, "state_id").groupBy("domain", "node", "network").agg(F.sum("p").alias("w"))
+        votes = open_.join(dist, ["domain", "node"]).groupBy("shape", "network").agg(F.sum("p").alias("p"))
+        mass = votes.groupBy("shape").agg(F.sum("p").alias("m"))
+        found = votes.join(mass, "shape").select("shape", "network", (F.col("p") / F.col("m")).alias("p"))
+        back = open_.join(found, "shape").groupBy("domain", "node", "network").agg(F.sum(F.col("p") * F.col("c")).alias("w"))
         now = clamped.unionByName(back).groupBy("domain", "node", "network").agg(F.sum("w").alias("w"))
-    alike = durable(found.groupBy("state_id").agg(_best().alias("b")).select("state_id", F.col("b.network").alias("network"), F.col("b.p").alias("score")))
-    others = tidied.where(F.col("network").isNull() & F.col("domain").isNotNull()).select("state_id", "domain", "time").join(alike, "state_id", "left_anti")
+    alike = durable(found.groupBy("shape").agg(_best().alias("b")))
+    lost = tidied.where(F.col("network").isNull() & F.col("domain").isNotNull()).select("state_id", "domain", "time", F.xxhash64("domain", *shape).alias("shape"))
     times, whole = _group_networks(tidied, spread)
-    others = _salted(others, times.select("domain", "time", F.struct("network", "p").alias("t")), ["domain", "time"], spread.salts).join(whole.select("domain", F.struct("network", "p").alias("d")), "domain")
-    others = others.withColumn("b", F.coalesce("t", "d")).select("state_id", F.col("b.network").alias("network"), F.col("b.p").alias("score"))
-    return alike.unionByName(others)
-
-
-def _moved(old: Column, new: Column) -> Column:
-    """Change as a part of the larger value; 1 for a value that is new, null where there is none."""
-    gap = F.abs(new - old)
-    return F.when(new.isNotNull() & old.isNull(), 1.0).when(gap == 0, 0.0).otherwise(gap / F.greatest(F.abs(old), F.abs(new)))
-
-
-def _best() -> Column:
-    """Aggregate: network and weight of the likeliest; ties go to the smaller code."""
-    return F.min_by(F.struct("network", "p"), F.struct((-F.round("p", 9)).alias("o"), "network"))
+    lost = _salted(lost, alike, ["shape"], spread.salts)
+    lost = _salted(lost, times.select("domain", "time", F.struct("network", "p").alias("t")), ["domain", "time"], spread.salts).join(whole.select("domain", F.struct("network", "p").alias("d")), "domain", "left")
+    lost = lost.select("state_id", F.coalesce("b", "t", "d").alias("b")).where(F.col("b").isNotNull())
+    return lost.select("state_id", F.col("b.network").alias("network"), F.col("b.p").alias("score"))
 
 
 def _group_networks(tidied: DataFrame, spread: Spread) -> tuple[DataFrame, DataFrame]:
@@ -165,67 +201,71 @@ def _group_networks(tidied: DataFrame, spread: Spread) -> tuple[DataFrame, DataF
     return times, whole
 
 
-def fill(states: DataFrame, catalog: DataFrame, domains: DataFrame, groups: Sequence[str] = ("demand_features", "inventory_features"), spread: Spread = Spread()) -> DataFrame:
-    """``state_id, field, value, label, filled, score``: one row per missing field of a state.
-
-    ``field`` is ``network_id`` (filled by ``label``, the canonical name) or a feature's full name
-    (filled by ``value``). ``filled`` is false where no state of the domain has a value; the row still
-    marks the field as missing. States of no known domain have no listed features and so only ``network_id``.
-    """
-    features = catalog_features(catalog, groups)
-    n = len(features)
-    t = durable(tidy_states(states, catalog, domains, groups, spread))
-    signed = signed_features(t, features, spread)
-    t = t if len(signed) == n else t.withColumns({f"f{i}": F.when(F.col(f"f{i}") >= 0, F.col(f"f{i}")) for i in range(n) if i not in signed})
-    t = t.withColumn("missing", missing_fields(features))
-    nets = fill_networks(t, spread)
-    guess = nets.select("state_id", F.col("network").alias("guess"), "score")
-
-    fs = [f"f{i}" for i in range(n)]
-    lacking = t.where(F.size("missing") > 0).select("state_id", "domain", "network", "time", "missing", *fs).join(guess, "state_id", "left")
-    lacking = durable(lacking.withColumn("net", F.coalesce("network", "guess")))
+def _observed(tidied: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``keys, field, s, n``: sum and count of each feature's observed values in a group."""
+    g = tidied.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(*[F.sum(f"f{i}").alias(f"s{i}") for i in range(n)], *[F.count(f"f{i}").alias(f"n{i}") for i in range(n)])
+    each = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"s{i}").alias("s"), F.col(f"n{i}").cast("double").alias("n")) for i in range(n)])
+    return g.select(*keys, F.explode(each).alias("e")).select(*keys, "e.*").where(F.col("n") > 0)
 
-    if not n:
-        return lacking.select("state_id", F.explode("missing").alias("field"), F.lit(None).cast("double").alias("value"), network_name(F.col("guess")).alias("label"), "score").withColumn("filled", F.col("label").isNotNull())
 
-    def sums(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-        return df.groupBy(*keys).agg(*[F.sum(c).alias(f"{c}_s") for c in cols], *[F.count(c).cast("double").alias(f"{c}_n") for c in cols])
+def fill_numbers(tidied: DataFrame, cases: DataFrame, n: int, spread: Spread = Spread()) -> DataFrame:
+    """``domain, net, time, like, field, value`` for each case of missing features (those columns and ``m``,
+    the number of its states). ``tidied`` has ``net``, the known or supplied network.
 
-    known = {"net": (["domain", "net"], spread.network_weight), "time": (["domain", "time"], spread.time_weight)}
-    base = t.where(F.col("network").isNotNull()).select("domain", F.col("network").alias("net"), "time", *fs)
-    base = base.unionByName(lacking.where(F.col("network").isNull()).select("domain", "net", "time", *fs))
-    observed = {k: durable(sums(base, keys, fs)) for k, (keys, _) in known.items()}
-    # neither network nor time known: the mean over the domain's times
-    whole = sums(observed["time"].select("domain", *[F.when(F.col(f"{c}_n") > 0, F.col(f"{c}_s") / F.col(f"{c}_n")).alias(c) for c in fs]), ["domain"], fs)
+    Each round a case takes the weighted mean of what its network, week and likeness have on average,
+    fills of the round before included; where none has the feature, the mean over the domain's weeks.
+    """
+    groups = {"net": (["domain", "net"], spread.network_weight), "time": (["domain", "time"], spread.time_weight), "like": (["domain", "like"], spread.like_weight)}
+    observed = {k: durable(_observed(tidied, keys, n)) for k, (keys, _) in groups.items()}
+    whole = observed["time"].groupBy("domain", "field").agg(F.avg(F.col("s") / F.col("n")).alias("whole"))
+    cases = cases.join(whole, ["domain", "field"], "left")
     current = None
     for r in range(spread.rounds):
-        at = lacking if current is None else current
-        for k, (keys, _) in known.items():
+        at = cases if current is None else current
+        for k, (keys, _) in groups.items():
             s = observed[k]
             if current is not None:
-                own = [F.when(F.array_contains("missing", f"{g}.{m}"), F.col(f"x{i}")).alias(f"f{i}") for i, (g, m) in enumerate(features)]
-                more = sums(current.select(*keys, *own), keys, fs)
-                s = s.unionByName(more).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in s.columns if c not in keys])
-            means = s.select(*keys, *[F.when(F.col(f"{c}_n") > 0, F.col(f"{c}_s") / F.col(f"{c}_n")).alias(f"{k}_{c}") for c in fs])
-            at = _salted(at, means, keys, spread.salts)
-        if r == 0:
-            at = at.join(whole.select("domain", *[F.when(F.col(f"{c}_n") > 0, F.col(f"{c}_s") / F.col(f"{c}_n")).alias(f"all_{c}") for c in fs]), "domain", "left")
-        new, moved = [], []
-        for i, (g, m) in enumerate(features):
-            a, b = F.col(f"net_f{i}"), F.col(f"time_f{i}")
-            wa, wb = F.when(a.isNotNull(), spread.network_weight).otherwise(0.0), F.when(b.isNotNull(), spread.time_weight).otherwise(0.0)
-            mean = F.when(wa + wb > 0, (F.coalesce(a, F.lit(0.0)) * wa + F.coalesce(b, F.lit(0.0)) * wb) / (wa + wb)).otherwise(F.col(f"all_f{i}"))
-            new.append(F.when(F.array_contains("missing", f"{g}.{m}"), mean).alias(f"x{i}"))
-            if r:
-                moved.append(_moved(F.col(f"x{i}"), new[-1]))
-        keep = ["state_id", "domain", "net", "time", "missing", "guess", "score"]
-        change = F.array_max(F.array(*moved)) if moved else F.lit(None).cast("double")
-        current = durable(at.select(*keep, *new, *[f"all_f{i}" for i in range(n)], change.alias("change")))
+                filled = current.where(F.col(k).isNotNull() & F.col("value").isNotNull()).groupBy(*keys, "field").agg(F.sum(F.col("value") * F.col("m")).alias("s"), F.sum("m").alias("n"))
+                s = s.unionByName(filled).groupBy(*keys, "field").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+            at = at.join(s.select(*keys, "field", (F.col("s") / F.col("n")).alias(f"mean_{k}")), [*keys, "field"], "left")
+        mass = sum((F.when(F.col(f"mean_{k}").isNotNull(), w).otherwise(0.0) for k, (_, w) in groups.items()), F.lit(0.0))
+        total = sum((F.coalesce(F.col(f"mean_{k}"), F.lit(0.0)) * w for k, (_, w) in groups.items()), F.lit(0.0))
+        new = F.when(mass > 0, total / mass).otherwise(F.col("whole"))
+        change = _moved(F.col("value"), new) if r else F.lit(None).cast("double")
+        current = durable(at.select("domain", "net", "time", "like", "field", "m", "whole", new.alias("value"), change.alias("change")))
         if r and (current.agg(F.max("change")).first()[0] or 0.0) < spread.tolerance:
             break
-    values = F.create_map(*[x for i, (g, m) in enumerate(features) for x in (F.lit(f"{g}.{m}"), F.col(f"x{i}"))])
-    out = current.select("state_id", F.explode("missing").alias("field"), values.alias("v"), "guess", "score")
-    is_net = F.col("field") == "network_id"
-    out = out.select("state_id", "field", F.when(~is_net, F.col("v")[F.col("field")]).alias("value"), F.when(is_net, network_name(F.col("guess"))).alias("label"), F.when(is_net, F.col("score")).alias("score"))
-    return out.withColumn("filled", F.col("value").isNotNull() | F.col("label").isNotNull())
+    return current
+
+
+def fill(states: DataFrame, catalog: DataFrame, domains: DataFrame, groups: Sequence[str] = ("demand_features", "inventory_features"), spread: Spread = Spread()) -> DataFrame:
+    """``state_id, field, value, label, filled, score``: one row per missing field of a state.
 
+    ``field`` is ``network_id`` (filled by ``label``, the canonical name) or a feature's full name
+    (filled by ``value``). ``filled`` is false where no state of the domain has a value; the row still
+    marks the field as missing. States of no known domain have no listed features and so only ``network_id``.
+    An empty table gives no rows.
+    """
+    features = catalog_features(catalog, groups)
+    n = len(features)
+    rows = durable(delivered(states, domains, features, spread))
+    t = durable(tidy_states(rows, possible(rows, n, spread), n, spread))
+    nets = durable(fill_networks(t, spread))
+    lost = t.where(F.col("network").isNull()).select("state_id").join(nets, "state_id", "left")
+    lost = lost.select("state_id", F.lit("network_id").alias("field"), F.lit(None).cast("double").alias("value"), network_name(F.col("network")).alias("label"), "score")
+    if not n:
+        return lost.withColumn("filled", F.col("label").isNotNull())
+    t = t.withColumnRenamed("network", "net")
+    guessed = t.where(F.col("net").isNull()).drop("net").join(nets.select("state_id", F.col("network").alias("net")), "state_id", "left")
+    t = t.where(F.col("net").isNotNull()).unionByName(guessed)
+    lacking = F.array_compact(F.array(*[F.when(F.col(f"l{i}") & F.col(f"f{i}").isNull(), F.lit(i)) for i in range(n)]))
+    missing = durable(t.join(listed_features(catalog, domains, features), "domain").select("state_id", "domain", "net", "time", "like", F.explode(lacking).alias("field")))
+    case = ["domain", "net", "time", "like", "field"]
+    cases = durable(missing.groupBy(*case).agg(F.count(F.lit(1)).cast("double").alias("m")))
+    known = fill_numbers(t, cases, n, spread)
+    # a case is named by one number, as its parts may be null
+    name = F.xxhash64(*[x for c in case for x in (F.coalesce(c, F.lit(0)), F.col(c).isNull())])
+    found = _salted(missing.select("state_id", "field", name.alias("case")), known.select(name.alias("case"), "value"), ["case"], spread.salts)
+    names = F.array(*[F.lit(f"{g}.{m}") for g, m in features])
+    numbers = found.select("state_id", names[F.col("field")].alias("field"), "value", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("score"))
+    return numbers.unionByName(lost).withColumn("filled", F.col("value").isNotNull() | F.col("label").isNotNull())

@@ -70,16 +70,20 @@ UNION ALL SELECT load_id, column_name, 'written_form' FROM x WHERE abs(fr - mfr)
 UNION ALL SELECT load_id, column_name, 'range' FROM x WHERE abs(orate - mor) > 0.03 + 4 * sqrt(greatest((mor + 1 / (given + 1)) * (1 - mor), 0) / greatest(given, 1))
 UNION ALL SELECT load_id, column_name, 'distribution' FROM x WHERE psi > 0.2 + 4 * (cells - 1) / greatest(own_n, 1)"""
 
-_POSSIBLE = "(NOT isnan({0}) AND abs({0}) < 9999999.0 AND {0} NOT IN (-9999.0, -999.0))"
-
 P4_FOUND = f"""WITH {DOMAINS},
 s AS (SELECT state_id, domain, {network_key('network_id')} AS net, demand_features, inventory_features FROM decision_states LEFT JOIN dom ON dk = {domain_key('domain_id')} WHERE state_id IS NOT NULL),
 cat AS (SELECT domain, feature_group || '.' || feature_name AS field, feature_group AS g, feature_name AS f FROM feature_catalog JOIN dom ON dk = {domain_key('domain_id')} WHERE feature_group IN ('demand_features', 'inventory_features')),
-e AS (SELECT state_id, 'demand_features.' || e.key AS field, e.value AS v FROM (SELECT state_id, unnest(map_entries(demand_features)) AS e FROM s)
-      UNION ALL SELECT state_id, 'inventory_features.' || e.key, e.value FROM (SELECT state_id, unnest(map_entries(inventory_features)) AS e FROM s)),
-mx AS (SELECT state_id, field, max(v) AS v FROM e WHERE v IS NOT NULL AND {_POSSIBLE.format('v')} GROUP BY ALL),
-sig AS (SELECT field, count(*) FILTER (v < 0 AND v <> -1) > 0.001 * greatest(count(*), 1) AS signed FROM mx GROUP BY field),
-usable AS (SELECT state_id, field FROM mx JOIN sig USING (field) WHERE signed OR v >= 0),
+e AS (SELECT state_id, field, v FROM (
+        SELECT state_id, 'demand_features.' || e.key AS field, e.value AS v FROM (SELECT state_id, unnest(map_entries(demand_features)) AS e FROM s)
+        UNION ALL SELECT state_id, 'inventory_features.' || e.key, e.value FROM (SELECT state_id, unnest(map_entries(inventory_features)) AS e FROM s))
+      WHERE v IS NOT NULL AND isfinite(v) AND field IN (SELECT field FROM cat)),
+size AS (SELECT field, exp(avg(ln(abs(v)))) AS size FROM e WHERE v <> 0 GROUP BY field),
+odd AS (SELECT field, v, abs(v) > 1e3 * size AS far, abs(v) <= 1e9 * size AS near, count(*) AS n FROM e JOIN size USING (field) WHERE v < 0 OR abs(v) > 1e3 * size GROUP BY ALL),
+codes AS (SELECT v FROM odd WHERE far GROUP BY v HAVING count(*) > 1),
+below AS (SELECT field, n, row_number() OVER (PARTITION BY field ORDER BY n DESC, v) AS r FROM odd WHERE v < 0 AND near AND v NOT IN (SELECT v FROM codes)),
+signed AS (SELECT field FROM below GROUP BY field HAVING 2 * sum(n) FILTER (r <= 5) < sum(n)),
+usable AS (SELECT DISTINCT state_id, field FROM e LEFT JOIN size USING (field)
+           WHERE (v = 0 OR abs(v) <= 1e9 * size) AND v NOT IN (SELECT v FROM codes) AND (v >= 0 OR field IN (SELECT field FROM signed))),
 one AS (SELECT state_id, max(domain) AS domain, max(net) AS net FROM s GROUP BY state_id)
 SELECT state_id, 'network_id' AS field FROM one WHERE net IS NULL
 UNION ALL

@@ -3,11 +3,13 @@
 import datetime as dt
 
 import pytest
+from compare import DATA
 from pyspark.sql import functions as F
 
 from decistrata import streaming
 from decistrata.functions import ids, ranking, values
 from decistrata.operators import fill, profile, widen
+from decistrata.sources import table
 
 T0 = dt.datetime(2011, 1, 1)
 
@@ -250,3 +252,36 @@ def test_empty_catalog(spark, catalog, domains):
 
 def test_fill_empty(spark, catalog, domains):
     assert fill.fill(spark.createDataFrame([], STATES), catalog, domains).count() == 0
+
+
+def test_what_cannot_be_a_measurement(spark, catalog, domains):
+    """Codes recur in several features, peaks don't; no number is too large by itself."""
+    rows = [(k, "toy_outlet", "NW-1-AA", "2011-W01", {"cv": 0.1 + k % 7 / 10, "mean_weekly": 100.0 + k}, {"stockout_days": float(k % 5)}, SHAPE) for k in range(400)]
+    odd = [(1000, 12e6, 0.4, 1.0), (1001, 99999999.0, 99999999.0, 1.0), (1002, 90.0, 1e20, -1.0), (1003, -5.0, -999.0, 99999999.0), (1004, float("inf"), float("nan"), 0.0)]
+    rows += [(k, "toy_outlet", "NW-1-AA", "2011-W01", {"cv": c, "mean_weekly": m}, {"stockout_days": d}, SHAPE) for k, m, c, d in odd]
+    got = {(r["state_id"], r["field"].split(".")[1]) for r in fill.fill(spark.createDataFrame(rows, STATES), catalog, domains).collect()}
+    assert got == {(1001, "cv"), (1001, "mean_weekly"), (1002, "cv"), (1002, "stockout_days"), (1003, "cv"), (1003, "mean_weekly"), (1003, "stockout_days"), (1004, "cv"), (1004, "mean_weekly")}
+
+
+def test_signed_features(spark, catalog, domains):
+    """A feature with many different numbers below zero may be negative, however few they are."""
+    rows = [(k, "toy_outlet", "NW-1-AA", "2011-W01", {"cv": (k + 1) / 100 * (-1 if k % 20 == 0 else 1), "mean_weekly": -1.0 if k % 20 == 0 else 5.0}, {"stockout_days": 1.0}, SHAPE) for k in range(400)]
+    got = [r["field"] for r in fill.fill(spark.createDataFrame(rows, STATES), catalog, domains).collect()]
+    assert got == ["demand_features.mean_weekly"] * 20
+
+
+def test_held_out_values(spark):
+    """Values that are there, hidden and filled again: networks nearly all right, numbers far nearer than the mean."""
+    states = table(spark, DATA.replace("sf0.001", "sf0.01"), "decision_states")
+    d = DATA.replace("sf0.001", "sf0.01")
+    hide = F.pmod(F.xxhash64("state_id"), F.lit(20))
+    cv = F.col("demand_features")["cv"]
+    hidden = states.withColumn("network_id", F.when(hide != 0, F.col("network_id"))).withColumn("demand_features", F.when(hide != 1, F.col("demand_features")).otherwise(F.map_filter("demand_features", lambda k, v: k != "cv")))
+    got = fill.fill(hidden, table(spark, d, "feature_catalog"), table(spark, d, "domains"))
+    truth = states.groupBy("state_id").agg(F.max(ids.network_key(F.col("network_id"))).alias("net"), F.max(F.when((cv >= 0) & (cv < 10), cv)).alias("cv"))
+    both = got.join(truth, "state_id")
+    nets = both.where((hide == 0) & (F.col("field") == "network_id") & F.col("net").isNotNull()).agg(F.count("*").alias("n"), F.avg((F.coalesce("label", F.lit("")) == F.col("net")).cast("int")).alias("right")).first()
+    assert nets["n"] > 150 and nets["right"] > 0.95
+    mean = truth.agg(F.avg("cv")).first()[0]
+    cvs = both.where((hide == 1) & (F.col("field") == "demand_features.cv") & F.col("cv").isNotNull()).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("value") - F.col("cv"))).alias("off"), F.avg(F.abs(mean - F.col("cv"))).alias("base")).first()
+    assert cvs["n"] > 150 and cvs["off"] < 0.45 * cvs["base"]
