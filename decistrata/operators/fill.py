@@ -23,6 +23,7 @@ below zero or more, as codes do and measurements do not. Any other number stays,
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -31,9 +32,12 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import network_key, time_key, with_domain
 from ..functions.values import let
-from ..sources import durable
+from ..sources import bounded, durable
 
-NETWORK = -1  #: place of the network among the fields; features have 0 and more
+#: The greatest finite number.
+MOST = sys.float_info.max
+#: States of one case that may come to one task.
+HOT = 100_000
 
 
 @dataclass(frozen=True)
@@ -61,7 +65,7 @@ class Possible:
     beyond: float
 
     def of(self, v: Column, i: int) -> Column:
-        fine = F.abs(v) <= self.beyond * self.size[i] if math.isfinite(self.size[i]) else F.lit(True)
+        fine = F.abs(v) <= min(self.beyond * self.size[i], MOST)  # NaN is greater
         fine = fine & ~v.isin(*self.codes) if self.codes else fine
         return F.when(fine if i in self.signed else fine & (v >= 0), v)
 
@@ -86,14 +90,13 @@ def network_name(code: Column) -> Column:
 
 def delivered(states: DataFrame, domains: DataFrame, features: Sequence[tuple[str, str]], spread: Spread = Spread()) -> DataFrame:
     """One row per delivery of a state: ``state_id``, ``domain, network, time`` as numbers, ``f0..``
-    (features) and ``s0..`` (structural values), finite or null. The maps are read here and nowhere else.
+    (features) and ``s0..`` (structural values) as they are. The maps are read here and nowhere else.
     Rows without ``state_id`` name no state and are left out."""
     s = with_domain(states.where(F.col("state_id").isNotNull()).select("state_id", "domain_id", "network_id", "time_id", *dict.fromkeys([*(g for g, _ in features), "network_features"])), domains)
-    finite = lambda v: F.when(F.abs(v) < float("inf"), v)  # noqa: E731  (NaN is greater)
     week = let(time_key(F.col("time_id")), lambda t: F.substring(t, 1, 4).cast("int") * 100 + F.substring(t, 7, 2).cast("int"))
     number = F.when(F.col("domain").isNotNull(), F.xxhash64("domain"))
-    values = [finite(F.col(g)[n]).alias(f"f{i}") for i, (g, n) in enumerate(features)]
-    values += [finite(F.col("network_features")[x]).alias(f"s{i}") for i, x in enumerate(spread.structure)]
+    values = [F.col(g)[n].alias(f"f{i}") for i, (g, n) in enumerate(features)]
+    values += [F.col("network_features")[x].alias(f"s{i}") for i, x in enumerate(spread.structure)]
     return s.select("state_id", number.alias("domain"), let(network_key(F.col("network_id")), network_code).alias("network"), week.alias("time"), *values)
 
 
@@ -101,9 +104,9 @@ def possible(rows: DataFrame, n: int, spread: Spread = Spread()) -> Possible:
     """The rule of the module's docstring for the columns ``f0..`` and ``s0..`` of delivered states. Only
     one row of sizes, the codes and a row per feature come to the driver."""
     cols = [*[f"f{i}" for i in range(n)], *[f"s{i}" for i in range(len(spread.structure))]]
-    sizes = rows.agg(*[F.exp(F.avg(F.when(F.col(c) != 0, F.ln(F.abs(c))))) for c in cols]).first()
+    sizes = rows.agg(*[F.exp(F.avg(F.when((F.col(c) != 0) & (F.abs(c) <= MOST), F.ln(F.abs(c))))) for c in cols]).first()
     size = [math.inf if x is None else x for x in sizes]
-    odd = [F.when((F.col(c) < 0) | (F.abs(c) > spread.far * size[i]), F.struct(F.lit(i).alias("i"), F.col(c).alias("v"), (F.abs(c) > spread.far * size[i]).alias("out"), (F.abs(c) <= spread.beyond * size[i]).alias("near"))) for i, c in enumerate(cols)]
+    odd = [F.when((F.abs(c) <= MOST) & ((F.col(c) < 0) | (F.abs(c) > spread.far * size[i])), F.struct(F.lit(i).alias("i"), F.col(c).alias("v"), (F.abs(c) > spread.far * size[i]).alias("out"), (F.abs(c) <= spread.beyond * size[i]).alias("near"))) for i, c in enumerate(cols)]
     odd = durable(rows.select(F.explode(F.array_compact(F.array(*odd))).alias("o")).select("o.*").groupBy("i", "v", "out", "near").agg(F.count(F.lit(1)).alias("n")))
     codes = sorted(r[0] for r in odd.where(F.col("out") & (F.col("i") < n)).groupBy("v").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("v").collect())
     below = odd.where((F.col("v") < 0) & F.col("near") & ~F.col("v").isin(*codes)) if codes else odd.where((F.col("v") < 0) & F.col("near"))
@@ -203,41 +206,55 @@ def _group_networks(tidied: DataFrame, spread: Spread) -> tuple[DataFrame, DataF
 
 def _observed(tidied: DataFrame, keys: list[str], n: int) -> DataFrame:
     """``keys, field, s, n``: sum and count of each feature's observed values in a group."""
-    g = tidied.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(*[F.sum(f"f{i}").alias(f"s{i}") for i in range(n)], *[F.count(f"f{i}").alias(f"n{i}") for i in range(n)])
-    each = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"s{i}").alias("s"), F.col(f"n{i}").cast("double").alias("n")) for i in range(n)])
-    return g.select(*keys, F.explode(each).alias("e")).select(*keys, "e.*").where(F.col("n") > 0)
+    each = F.array_compact(F.array(*[F.when(F.col(f"f{i}").isNotNull(), F.struct(F.lit(i).alias("field"), F.col(f"f{i}").alias("v"))) for i in range(n)]))
+    long = tidied.where(F.col(keys[-1]).isNotNull()).select(*keys, F.explode(each).alias("e")).select(*keys, "e.*")
+    return long.groupBy(*keys, "field").agg(F.sum("v").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
 def fill_numbers(tidied: DataFrame, cases: DataFrame, n: int, spread: Spread = Spread()) -> DataFrame:
-    """``domain, net, time, like, field, value`` for each case of missing features (those columns and ``m``,
-    the number of its states). ``tidied`` has ``net``, the known or supplied network.
+    """``domain, net, time, like, field, m, value`` for each case of missing features (``m`` is the number of
+    its states). ``tidied`` has ``net``, the known or supplied network.
 
     Each round a case takes the weighted mean of what its network, week and likeness have on average,
     fills of the round before included; where none has the feature, the mean over the domain's weeks.
     """
-    groups = {"net": (["domain", "net"], spread.network_weight), "time": (["domain", "time"], spread.time_weight), "like": (["domain", "like"], spread.like_weight)}
-    observed = {k: durable(_observed(tidied, keys, n)) for k, (keys, _) in groups.items()}
+    groups = {"net": (["domain", "net", "field"], spread.network_weight), "time": (["domain", "time", "field"], spread.time_weight), "like": (["domain", "like", "field"], spread.like_weight)}
+    observed = {k: durable(_observed(tidied, keys[:-1], n)) for k, (keys, _) in groups.items()}
     whole = observed["time"].groupBy("domain", "field").agg(F.avg(F.col("s") / F.col("n")).alias("whole"))
-    cases = cases.join(whole, ["domain", "field"], "left")
-    current = None
-    for r in range(spread.rounds):
-        at = cases if current is None else current
+
+    def added(sums: DataFrame, filled: DataFrame, keys: list[str]) -> DataFrame:
+        """A group's sums with the fills of its cases."""
+        more = filled.where(F.col(keys[1]).isNotNull() & F.col("value").isNotNull()).groupBy(*keys).agg(F.sum(F.col("value") * F.col("m")).alias("s"), F.sum("m").alias("n"))
+        return sums.unionByName(more).groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+    def averaged(at: DataFrame, sums: dict[str, DataFrame]) -> DataFrame:
         for k, (keys, _) in groups.items():
-            s = observed[k]
-            if current is not None:
-                filled = current.where(F.col(k).isNotNull() & F.col("value").isNotNull()).groupBy(*keys, "field").agg(F.sum(F.col("value") * F.col("m")).alias("s"), F.sum("m").alias("n"))
-                s = s.unionByName(filled).groupBy(*keys, "field").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-            at = at.join(s.select(*keys, "field", (F.col("s") / F.col("n")).alias(f"mean_{k}")), [*keys, "field"], "left")
+            at = at.join(sums[k].select(*keys, (F.col("s") / F.col("n")).alias(f"mean_{k}")), keys, "left")
         mass = sum((F.when(F.col(f"mean_{k}").isNotNull(), w).otherwise(0.0) for k, (_, w) in groups.items()), F.lit(0.0))
         total = sum((F.coalesce(F.col(f"mean_{k}"), F.lit(0.0)) * w for k, (_, w) in groups.items()), F.lit(0.0))
         new = F.when(mass > 0, total / mass).otherwise(F.col("whole"))
-        change = _moved(F.col("value"), new) if r else F.lit(None).cast("double")
-        current = durable(at.select("domain", "net", "time", "like", "field", "m", "whole", new.alias("value"), change.alias("change")))
-        if r and (current.agg(F.max("change")).first()[0] or 0.0) < spread.tolerance:
+        return durable(at.select("domain", "net", "time", "like", "field", "m", "whole", new.alias("value"), _moved(F.col("value"), new).alias("change")))
+
+    current = averaged(cases.join(whole, ["domain", "field"], "left").withColumn("value", F.lit(None).cast("double")), observed)
+    for _ in range(spread.rounds - 1):
+        current = averaged(current, {k: added(observed[k], current, keys) for k, (keys, _) in groups.items()})
+        if (current.agg(F.max("change")).first()[0] or 0.0) < spread.tolerance:
             break
     return current
 
 
+def _with_cases(missing: DataFrame, known: DataFrame, hot: int = HOT) -> DataFrame:
+    """``state_id, field, value``: each missing field with the value of its case. Only a case of more than
+    ``hot`` states could be too much for a task; such cases are few and sent to all."""
+    cold = missing
+    many = known.where(F.col("m") > hot)
+    if many.head(1):
+        many = bounded(many.select("case", F.col("value").alias("own")))
+        cold = missing.join(many, "case", "left_anti")
+        return cold.join(known.drop("m"), "case").select("state_id", "field", "value").unionByName(missing.join(many, "case").select("state_id", "field", F.col("own").alias("value")))
+    return cold.join(known.drop("m"), "case").select("state_id", "field", "value")
+
+
 def fill(states: DataFrame, catalog: DataFrame, domains: DataFrame, groups: Sequence[str] = ("demand_features", "inventory_features"), spread: Spread = Spread()) -> DataFrame:
     """``state_id, field, value, label, filled, score``: one row per missing field of a state.
 
@@ -264,8 +281,8 @@ def fill(states: DataFrame, catalog: DataFrame, domains: DataFrame, groups: Sequ
     cases = durable(missing.groupBy(*case).agg(F.count(F.lit(1)).cast("double").alias("m")))
     known = fill_numbers(t, cases, n, spread)
     # a case is named by one number, as its parts may be null
-    name = F.xxhash64(*[x for c in case for x in (F.coalesce(c, F.lit(0)), F.col(c).isNull())])
-    found = _salted(missing.select("state_id", "field", name.alias("case")), known.select(name.alias("case"), "value"), ["case"], spread.salts)
+    name = F.xxhash64(*[x for c in case for x in (F.coalesce(c, F.lit(0)), F.col(c).isNull())]).alias("case")
+    found = _with_cases(missing.select("state_id", "field", name), known.select(name, "m", "value"))
     names = F.array(*[F.lit(f"{g}.{m}") for g, m in features])
     numbers = found.select("state_id", names[F.col("field")].alias("field"), "value", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("score"))
     return numbers.unionByName(lost).withColumn("filled", F.col("value").isNotNull() | F.col("label").isNotNull())

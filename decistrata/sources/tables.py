@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 
 _folders: set[str] = set()
+_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,9 +52,14 @@ def durable(df: DataFrame) -> DataFrame:
     A lost executor then costs a read and no recomputation, and plans that use the result several
     times don't repeat it. Parquet is a tenth of what a checkpoint of rows would take.
     """
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    limit = spark.conf.get(_LIMIT)
+    spark.conf.set(_LIMIT, "8000")  # the JVM leaves larger methods uncompiled, as those of wide aggregates would be
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_LIMIT, limit)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded(df: DataFrame, rows: int = 20_000) -> DataFrame:
