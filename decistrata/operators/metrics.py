@@ -56,10 +56,15 @@ def evaluate(df: DataFrame, truth_column: str, prediction_column: str, by: Seque
 
 def pair_strictly(truths: DataFrame, predictions: DataFrame, key: str, truth_column: str, prediction_column: str) -> DataFrame:
     """``key, truth_column, prediction_column`` of two tables that must match one to one; a key that is
-    null, repeated or in one table only raises an error when the result is computed."""
-    a = truths.groupBy(key).agg(F.count(F.lit(1)).alias("_na"), F.first(truth_column).alias(truth_column))
-    b = predictions.groupBy(key).agg(F.count(F.lit(1)).alias("_nb"), F.first(prediction_column).alias(prediction_column))
+    null, repeated or in one table only raises an error when anything of the result is computed, a
+    metric included. Two empty tables match. Both columns may have the same name in their tables but not
+    here; the prediction is then called ``<name>_predicted``."""
+    named = prediction_column if prediction_column not in (key, truth_column) else f"{prediction_column}_predicted"
+    a = truths.groupBy(key).agg(F.count(F.lit(1)).alias("_na"), F.first(truth_column).alias("_y"))
+    b = predictions.groupBy(key).agg(F.count(F.lit(1)).alias("_nb"), F.first(prediction_column).alias("_p"))
     j = a.join(b, key, "full_outer")
     fine = F.col(key).isNotNull() & (F.coalesce("_na", F.lit(0)) == 1) & (F.coalesce("_nb", F.lit(0)) == 1)
-    checked = F.when(fine, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("not matched one to one: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(dict(truths.dtypes)[key]))
-    return j.select(checked.alias(key), truth_column, prediction_column)
+    message = F.concat(F.lit("not matched one to one: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    # a filter and not a column, which a metric that doesn't read it would drop
+    j = j.where(F.when(fine, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+    return j.select(key, F.col("_y").alias(truth_column), F.col("_p").alias(named))

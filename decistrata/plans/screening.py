@@ -64,6 +64,14 @@ def policy_evaluation(spark: SparkSession, d: str) -> DataFrame:
     return policy.compare(_labelled(spark, d), POLICIES, "material_reconfiguration")
 
 
+def paired_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Truths and decisions as two tables that must match one to one; any other pairing raises."""
+    labelled = _labelled(spark, d)
+    decided = policy.decide(labelled.select("state_id", "Gamma"), POLICIES["gamma_at_least_7"]).select("state_id", "invoke_oracle")
+    pairs = metrics.pair_strictly(labelled.select("state_id", "material_reconfiguration"), decided, "state_id", "material_reconfiguration", "invoke_oracle")
+    return metrics.evaluate(pairs, "material_reconfiguration", "invoke_oracle")
+
+
 def decision_loss(spark: SparkSession, d: str) -> DataFrame:
     """Stand-in costs: a line's full price as the policy's cost, its discounted price as the exact one."""
     li = table(spark, d, "lineitem")
@@ -116,7 +124,7 @@ def pinned_oracle(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     **{n: _rate(n) for n in ("balanced_accuracy", "false_negative_rate", "exact_solve_reduction_rate")},
-    **{f.__name__: f for f in (policy_evaluation, decision_loss, decision_states, flatten_features, feature_columns, field_names, leakage_check, strict_leakage, risk_trigger, oracle_label, oracle_provenance, pinned_oracle)},
+    **{f.__name__: f for f in (policy_evaluation, paired_evaluation, decision_loss, decision_states, flatten_features, feature_columns, field_names, leakage_check, strict_leakage, risk_trigger, oracle_label, oracle_provenance, pinned_oracle)},
 }
 
 _NAMES = sorted(validation.field_names())
@@ -135,6 +143,7 @@ SQL = {
     "false_negative_rate": f"{_LABELLED_SQL} SELECT domain, {_FNR} AS false_negative_rate FROM l GROUP BY domain",
     "exact_solve_reduction_rate": f"{_LABELLED_SQL} SELECT domain, {_RED} AS exact_solve_reduction_rate FROM l GROUP BY domain",
     "policy_evaluation": f"{_LABELLED_SQL} {_POLICY_ROWS} SELECT policy, {_BA} AS balanced_accuracy, {_FNR} AS false_negative_rate, {_RED} AS exact_solve_reduction_rate, count(*) AS n FROM v GROUP BY policy",
+    "paired_evaluation": f"{_LABELLED_SQL} SELECT {_BA} AS balanced_accuracy, {_FNR} AS false_negative_rate, {_RED} AS exact_solve_reduction_rate, count(*) AS n FROM l",
     "decision_loss": "SELECT l_orderkey, l_linenumber, l_extendedprice - l_extendedprice * (1 - l_discount) AS loss FROM lineitem",
     "decision_states": "SELECT state_id, load_id, domain_id, network_id, time_id, beta, \"Gamma\", lambda_R, " + ", ".join(f"coalesce(cardinality({g}), 0)::BIGINT AS n_{g}" for g in FEATURE_GROUPS) + " FROM decision_states",
     "flatten_features": f"{_CONTROL_ROWS}\nUNION ALL\n{_GROUP_ROWS}",

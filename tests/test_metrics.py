@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,14 +43,14 @@ def test_counts(spark, tp, fn, tn, fp, ba, fnr, red):
 
 
 def plain(ys, ps):
-    ys, ps = [bool(y) for y in ys], [bool(p) for p in ps]
-    recalls = []
-    for c in (False, True):
-        own = [p == c for y, p in zip(ys, ps, strict=True) if y == c]
-        if own:
-            recalls.append(sum(own) / len(own))
-    missed = [not p for y, p in zip(ys, ps, strict=True) if y]
-    return (sum(recalls) / len(recalls) if recalls else 0.0, sum(missed) / len(missed) if missed else 0.0, 1.0 - sum(ps) / len(ps) if ps else 0.0)
+    """The rates from the four counts of a confusion table."""
+    table = Counter((bool(y), bool(p)) for y, p in zip(ys, ps, strict=True))
+    tp, fn, tn, fp = (table[c] for c in ((True, True), (True, False), (False, False), (False, True)))
+    if tp + fn and tn + fp:
+        balanced = (tp / (tp + fn) + tn / (tn + fp)) / 2
+    else:
+        balanced = (tp + tn) / max(tp + fn + tn + fp, 1)
+    return balanced, fn / max(tp + fn, 1), (tn + fn) / max(tp + fn + tn + fp, 1)
 
 
 def test_random_groups(spark):
@@ -58,7 +59,7 @@ def test_random_groups(spark):
     got = metrics.evaluate(frame(spark, [(g, y, p) for g, v in data.items() for y, p in v]), "y", "p", ["g"]).collect()
     assert len(got) == len(data)
     for r in got:
-        assert (r["balanced_accuracy"], r["false_negative_rate"], r["exact_solve_reduction_rate"]) == plain(*zip(*data[r["g"]], strict=True))
+        assert (r["balanced_accuracy"], r["false_negative_rate"], r["exact_solve_reduction_rate"]) == pytest.approx(plain(*zip(*data[r["g"]], strict=True)))
 
 
 def test_numbers_and_nan(spark):
@@ -77,9 +78,14 @@ def test_strict_pairs(spark):
     t = spark.createDataFrame([(1, True), (2, False)], "k int, y boolean")
     p = spark.createDataFrame([(2, True), (1, True)], "k int, p boolean")
     assert sorted(map(tuple, metrics.pair_strictly(t, p, "k", "y", "p").collect())) == [(1, True, True), (2, False, True)]
-    for bad in ([(1, True)], [(1, True), (2, True), (2, True)], [(1, True), (2, True), (None, True)]):
-        with pytest.raises(Exception, match="one to one"):
-            metrics.pair_strictly(t, spark.createDataFrame(bad, "k int, p boolean"), "k", "y", "p").collect()
+    for bad in ([(1, True)], [(1, True), (2, True), (2, True)], [(1, True), (2, True), (None, True)], [(1, True), (1, True), (9, True)]):
+        pairs = metrics.pair_strictly(t, spark.createDataFrame(bad, "k int, p boolean"), "k", "y", "p")
+        for use in (pairs, pairs.select("y"), metrics.evaluate(pairs, "y", "p"), pairs.agg(F.count("*"))):
+            with pytest.raises(Exception, match="one to one"):
+                use.collect()
+    same = metrics.pair_strictly(t, p.withColumnRenamed("p", "y"), "k", "y", "y")
+    assert same.columns == ["k", "y", "y_predicted"] and metrics.evaluate(same, "y", "y_predicted").first()["n"] == 2
+    assert metrics.evaluate(metrics.pair_strictly(t.limit(0), p.limit(0), "k", "y", "p"), "y", "p").first()["n"] == 0
 
 
 def test_one_shuffle(spark):
