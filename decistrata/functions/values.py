@@ -30,6 +30,31 @@ def tidy(c: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"[\s   　]+", " "))
 
 
+def _bare(tidied: Column, unit: Column) -> Column:
+    """Without the feature's own unit behind the number."""
+    u = F.lower(unit)
+    return F.when(u.isNotNull() & (u != "") & tidied.endswith(u), F.rtrim(F.substring(tidied, F.lit(1), F.length(tidied) - F.length(u)))).otherwise(tidied)
+
+
+def _digits(n: Column) -> Column:
+    """A number's usual form, which casts read; null for what is no number."""
+    return (
+        F.when(n.rlike(_PLAIN), n)
+        .when(n.rlike(_GROUPED), F.translate(n, ",", ""))
+        .when(n.rlike(_COMMA), F.translate(n, ",", "."))
+        .when(n.rlike(_POINTED), F.translate(F.translate(n, ".", ""), ",", "."))
+        .when(n.rlike(_GAPPED), F.translate(F.translate(n, " '’", ""), ",", "."))
+    )
+
+
+def _without_percent(n: Column) -> Column:
+    return F.when(n.endswith("%"), F.rtrim(F.substring(n, F.lit(1), F.length(n) - 1))).otherwise(n)
+
+
+def _finite(v: Column) -> Column:
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
+
+
 def read_number(tidied: Column, unit: Column) -> Column:
     """The double that a text means, else null.
 
@@ -38,20 +63,24 @@ def read_number(tidied: Column, unit: Column) -> Column:
     a comma with another number of digits behind it is a decimal comma. Words, ``nan``, broken
     numbers (``1e``, ``12..5``, ``1.2.3``) and foreign units give null.
     """
-    u = F.lower(unit)
-    bare = F.when(u.isNotNull() & (u != "") & tidied.endswith(u), F.rtrim(F.substring(tidied, F.lit(1), F.length(tidied) - F.length(u)))).otherwise(tidied)
+    number = lambda n: let(_digits(_without_percent(n)).try_cast("double"), _finite)
+    return let(_bare(tidied, unit), lambda n: F.when(n.endswith("%"), F.round(number(n) / 100, 12)).otherwise(number(n)))
+
+
+def read_whole(tidied: Column, unit: Column) -> Column:
+    """The whole number that a text means, exactly, over the range of ``bigint``; else null."""
 
-    def number(n: Column) -> Column:
-        text = (
-            F.when(n.rlike(_PLAIN), n)
-            .when(n.rlike(_GROUPED), F.translate(n, ",", ""))
-            .when(n.rlike(_COMMA), F.translate(n, ",", "."))
-            .when(n.rlike(_POINTED), F.translate(F.translate(n, ".", ""), ",", "."))
-            .when(n.rlike(_GAPPED), F.translate(F.translate(n, " '’", ""), ",", "."))
-        )
-        return let(text.try_cast("double"), lambda v: F.when(F.abs(v) < F.lit(float("inf")), v))
+    def whole(n: Column) -> Column:
+        return let(_digits(_without_percent(n)), lambda t: F.when(n.endswith("%"), _as_whole(F.concat(t, F.lit("e-2")))).otherwise(_as_whole(t)))
 
-    return let(bare, lambda n: F.when(n.endswith("%"), F.round(number(F.rtrim(F.substring(n, F.lit(1), F.length(n) - 1))) / 100, 12)).otherwise(number(n)))
+    return let(_bare(tidied, unit), whole)
+
+
+def _as_whole(text: Column) -> Column:
+    """Decimals keep every digit of the range; a text with more than ten digits behind the point is whole
+    only if its double is."""
+    exact, near = text.try_cast("decimal(38,10)"), text.try_cast("double")
+    return F.when((exact == F.floor(exact)) & (near == F.floor(near)), exact.try_cast("bigint"))
 
 
 def read_boolean(tidied: Column) -> Column:
@@ -60,15 +89,18 @@ def read_boolean(tidied: Column) -> Column:
 
 
 def read_typed(raw: Column, value_type: Column, unit: Column) -> Column:
-    """The value as double by ``value_type``: ``double``, ``long`` (whole numbers only) or ``boolean``."""
-    def whole(v: Column) -> Column:
-        return F.when((v == F.floor(v)) & (F.abs(v) < 2.0**53), v)
+    """``value`` (double) and, of a ``long`` feature, ``whole`` (bigint, exact) by ``value_type``: ``double``,
+    ``long`` (whole numbers within the range of bigint only) or ``boolean``; both null for what can't be read."""
+
+    def cell(value: Column, whole: Column | None = None) -> Column:
+        return F.struct(value.cast("double").alias("value"), (F.lit(None) if whole is None else whole).cast("bigint").alias("whole"))
+
+    def both(whole: Column) -> Column:
+        return let(whole, lambda w: cell(w, w))
 
     def typed(s: Column) -> Column:
-        number = read_number(s, unit)
-        return F.when(value_type == "boolean", read_boolean(s)).when(value_type == "long", let(number, whole)).otherwise(number)
+        return F.when(value_type == "boolean", cell(read_boolean(s))).when(value_type == "long", both(read_whole(s, unit))).otherwise(cell(read_number(s, unit)))
 
     # most values are plain numbers, which need no tidying
     usual = (value_type != "boolean") & raw.rlike(r"^-?[0-9]{1,300}(\.[0-9]+)?$")
-    plain = raw.try_cast("double")
-    return F.when(usual, F.when(value_type == "long", whole(plain)).otherwise(plain)).otherwise(let(tidy(raw), typed))
+    return F.when(usual & (value_type == "long"), both(_as_whole(raw))).when(usual, cell(raw.try_cast("double"))).otherwise(let(tidy(raw), typed))

@@ -91,7 +91,8 @@ SELECT state_id, field FROM (SELECT DISTINCT state_id, field FROM one JOIN cat U
 
 _TIDY = f"trim(regexp_replace(regexp_replace(lower(regexp_replace({narrow('raw_value')}, '\\p{{Cf}}', '', 'g')), '[−–]', '-', 'g'), '[\\s\\x{{00A0}}\\x{{2007}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g'))"
 
-#: The catalog's features and their types, for the SQL of the wide table. Fixed values.
+#: The catalog's features and their types, for the SQL of the wide tables: a SELECT
+#: can't take its columns from a table, so they are written out here. Fixed values.
 FEATURES = {
     "cost_features": "budget_left:double fx_hedged:boolean holding_rate:double penalty_unit:double setup_fixed:double transfer_unit:double",
     "demand_features": "cv:double mean_weekly:double order_lines:long peak_ratio:double promo_uplift:double season_strength:double trend:double zero_share:double",
@@ -102,36 +103,41 @@ FEATURES = {
 _P5_VALUES = f"""WITH {DOMAINS},
 cat AS (SELECT domain, feature_group || '.' || feature_name AS feature, value_type, lower(unit) AS unit, {domain_key("feature_group || feature_name")} AS k1,
                {domain_key("regexp_replace(feature_group, '_features$', '') || feature_name")} AS k2 FROM feature_catalog JOIN dom ON dk = {domain_key('domain_id')}),
-r AS (SELECT entity_id, domain, {domain_key(narrow('attr_name'))} AS k, {_TIDY} AS t FROM feature_rows JOIN dom ON dk = {domain_key(narrow('domain_id'))} WHERE entity_id IS NOT NULL),
-j AS (SELECT entity_id, feature, value_type, t, CASE WHEN unit IS NOT NULL AND unit <> '' AND ends_with(t, unit) THEN rtrim(left(t, length(t) - length(unit))) ELSE t END AS b
-      FROM r JOIN cat ON r.domain = cat.domain AND (k = k1 OR k = k2)),
+raw AS (SELECT entity_id, domain, {domain_key(narrow('attr_name'))} AS k, {_TIDY} AS t, loaded_at FROM feature_rows JOIN dom ON dk = {domain_key(narrow('domain_id'))} WHERE entity_id IS NOT NULL),
+j AS (SELECT entity_id, feature, value_type, t, loaded_at, CASE WHEN unit IS NOT NULL AND unit <> '' AND ends_with(t, unit) THEN rtrim(left(t, length(t) - length(unit))) ELSE t END AS b
+      FROM raw JOIN cat ON raw.domain = cat.domain AND (k = k1 OR k = k2)),
 n AS (SELECT *, ends_with(b, '%') AS pct, CASE WHEN ends_with(b, '%') THEN rtrim(left(b, length(b) - 1)) ELSE b END AS x FROM j),
-v AS (SELECT *, TRY_CAST(CASE
+y AS (SELECT *, CASE
         WHEN regexp_full_match(x, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?') THEN x
         WHEN regexp_full_match(x, '[+-]?[1-9][0-9]{{0,2}}(,[0-9]{{3}})+(\\.[0-9]+)?') THEN replace(x, ',', '')
         WHEN regexp_full_match(x, '[+-]?[0-9]+,[0-9]+') THEN replace(x, ',', '.')
         WHEN regexp_full_match(x, '[+-]?[1-9][0-9]{{0,2}}(\\.[0-9]{{3}})+,[0-9]+') THEN replace(replace(x, '.', ''), ',', '.')
-        WHEN regexp_full_match(x, '[+-]?[1-9][0-9]{{0,2}}([ ''’][0-9]{{3}})+([.,][0-9]+)?') THEN replace(replace(replace(replace(x, ' ', ''), '''', ''), '’', ''), ',', '.') END AS DOUBLE) AS num FROM n),
-w AS (SELECT entity_id, feature, CASE value_type
+        WHEN regexp_full_match(x, '[+-]?[1-9][0-9]{{0,2}}([ ''’][0-9]{{3}})+([.,][0-9]+)?') THEN replace(replace(replace(replace(x, ' ', ''), '''', ''), '’', ''), ',', '.') END AS x2 FROM n),
+v AS (SELECT *, TRY_CAST(x2 AS DOUBLE) AS num, TRY_CAST(TRY_CAST(CASE WHEN pct THEN x2 || 'e-2' ELSE x2 END AS DECIMAL(38,10)) AS BIGINT) AS whole FROM y),
+z AS (SELECT *, num / (CASE WHEN pct THEN 100 ELSE 1 END) = floor(num / (CASE WHEN pct THEN 100 ELSE 1 END)) AND whole IS NOT NULL AS is_whole FROM v),
+w AS (SELECT entity_id, feature, loaded_at, CASE WHEN value_type = 'long' AND is_whole THEN whole END AS whole, CASE value_type
         WHEN 'boolean' THEN CASE WHEN t IN ('true', 't', 'yes', 'y', 'on', '1') THEN 1.0 WHEN t IN ('false', 'f', 'no', 'n', 'off', '0') THEN 0.0 END
-        WHEN 'long' THEN CASE WHEN num / (CASE WHEN pct THEN 100 ELSE 1 END) = floor(num / (CASE WHEN pct THEN 100 ELSE 1 END)) THEN num / (CASE WHEN pct THEN 100 ELSE 1 END) END
-        ELSE CASE WHEN pct THEN round(num / 100, 12) ELSE num END END AS value FROM v)
+        WHEN 'long' THEN CASE WHEN is_whole THEN whole::DOUBLE END
+        ELSE CASE WHEN pct THEN round(num / 100, 12) ELSE num END END AS value FROM z)
 """
+_CLEAR = "coalesce(min(whole) = max(whole), max(value) - min(value) <= 1e-9 * greatest(1.0, abs(max(value))))"
 
-P5_FOUND = _P5_VALUES + """SELECT entity_id, feature AS feature_name, CASE WHEN count(value) = 0 THEN 'no_value' ELSE 'conflict' END AS outcome
-FROM w GROUP BY entity_id, feature HAVING count(value) = 0 OR max(value) - min(value) > 1e-9 * greatest(1.0, abs(max(value)))"""
+P5_FOUND = f"""{_P5_VALUES}SELECT entity_id, feature AS feature_name, CASE WHEN count(value) = 0 THEN 'no_value' ELSE 'conflict' END AS outcome
+FROM w GROUP BY entity_id, feature HAVING count(value) = 0 OR NOT {_CLEAR}"""
 
 
 def _p5_column(group: str, name: str, kind: str) -> str:
-    value = f"max(CASE WHEN feature = '{group}.{name}' THEN v END)"
-    typed = {"boolean": f"{value} <> 0", "long": f"{value}::BIGINT", "double": value}[kind]
+    of = lambda x: f"max(CASE WHEN feature = '{group}.{name}' THEN {x} END)"
+    typed = {"boolean": f"{of('v')} <> 0", "long": f"coalesce({of('n')}, {of('v')}::BIGINT)", "double": of("v")}[kind]
     return f"{typed} AS {group}__{name}"
 
 
 _P5_COLUMNS = ",\n".join(_p5_column(g, *f.split(":")) for g, fs in FEATURES.items() for f in fs.split())
-
-P5_WIDE = f"""{_P5_VALUES},
-clear AS (SELECT entity_id, feature, CASE WHEN max(value) - min(value) <= 1e-9 * greatest(1.0, abs(max(value))) THEN max(value) END AS v FROM w GROUP BY ALL),
-ent AS (SELECT entity_id, max(domain) AS domain_id FROM feature_rows LEFT JOIN dom ON dk = {domain_key(narrow('domain_id'))} WHERE entity_id IS NOT NULL GROUP BY entity_id)
+_P5_ENTITIES = f"""ent AS (SELECT entity_id, max(domain) AS domain_id FROM feature_rows LEFT JOIN dom ON dk = {domain_key(narrow('domain_id'))} WHERE entity_id IS NOT NULL GROUP BY entity_id)
 SELECT entity_id, domain_id, {_P5_COLUMNS}
-FROM ent LEFT JOIN clear USING (entity_id) GROUP BY entity_id, domain_id"""
+FROM ent LEFT JOIN picked USING (entity_id) GROUP BY entity_id, domain_id"""
+
+P5_WIDE = f"""{_P5_VALUES}, picked AS (SELECT entity_id, feature, max(value) AS v, max(whole) AS n FROM w WHERE value IS NOT NULL GROUP BY ALL HAVING {_CLEAR}), {_P5_ENTITIES}"""
+
+P5_LATEST = f"""{_P5_VALUES}, last AS (SELECT *, row_number() OVER (PARTITION BY entity_id, feature ORDER BY loaded_at DESC NULLS LAST, value DESC) AS k FROM w WHERE value IS NOT NULL),
+picked AS (SELECT entity_id, feature, value AS v, whole AS n FROM last WHERE k = 1), {_P5_ENTITIES}"""

@@ -62,5 +62,10 @@ def p5_wide(spark: SparkSession, d: str) -> DataFrame:
     return widen.wide(widen.compact(_runs(spark, d)), widen.feature_types(table(spark, d, "feature_catalog")), table(spark, d, "domains"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_exact, p2_drift, p4_found, p4_fills, p5_found, p5_wide)}
-SQL = {"p2_found": problem_sql.P2_FOUND, "p2_exact": problem_sql.P2_EXACT, "p4_found": problem_sql.P4_FOUND, "p5_found": problem_sql.P5_FOUND, "p5_wide": problem_sql.P5_WIDE}
+def p5_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table in which the latest version of a cell wins where its rows contradict each other."""
+    return widen.wide(widen.compact(_runs(spark, d)), widen.feature_types(table(spark, d, "feature_catalog")), table(spark, d, "domains"), "latest")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_exact, p2_drift, p4_found, p4_fills, p5_found, p5_wide, p5_latest)}
+SQL = {"p2_found": problem_sql.P2_FOUND, "p2_exact": problem_sql.P2_EXACT, "p4_found": problem_sql.P4_FOUND, "p5_found": problem_sql.P5_FOUND, "p5_wide": problem_sql.P5_WIDE, "p5_latest": problem_sql.P5_LATEST}

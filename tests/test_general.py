@@ -38,7 +38,29 @@ def test_time_key(spark, written, meant):
 )
 def test_read_typed(spark, raw, kind, unit, value):
     df = spark.createDataFrame([(raw, kind, unit)], "r string, k string, u string")
-    assert df.select(values.read_typed(F.col("r"), F.col("k"), F.col("u"))).first()[0] == value
+    assert df.select(values.read_typed(F.col("r"), F.col("k"), F.col("u"))["value"]).first()[0] == value
+
+
+@pytest.mark.parametrize(("raw", "whole"), [("9007199254740993", 2**53 + 1), (" 9,007,199,254,740,993 days", 2**53 + 1), ("-9223372036854775808", -(2**63)), ("9223372036854775807.0", 2**63 - 1), ("9223372036854775808", None), ("1200%", 12), ("1250%", None), ("7.00000000000001", None), ("1e3", 1000), ("9" * 60, None)])
+def test_read_whole(spark, raw, whole):
+    df = spark.createDataFrame([(raw, "long", "days")], "r string, k string, u string")
+    r = df.select(values.read_typed(F.col("r"), F.col("k"), F.col("u")).alias("c")).select("c.*").first()
+    assert r["whole"] == whole and r["value"] == (None if whole is None else float(whole))
+
+
+def test_large_whole_numbers_stay_exact(spark, catalog, domains):
+    rows = rows_of(spark, [(1, "toy_outlet", "inventory.stockout_days", "9007199254740993", 0), (2, "toy_outlet", "inventory.stockout_days", "9007199254740993", 0), (2, "toy_outlet", "inventory.stockout_days", "9007199254740992", 0)])
+    d = widen.deltas(rows, catalog, domains)
+    assert [tuple(r) for r in widen.unclear_cells(d, widen.feature_types(catalog)).collect()] == [(2, "inventory_features.stockout_days", "conflict")]
+    got = {r["entity_id"]: r["inventory_features__stockout_days"] for r in widen.wide(widen.compact(d), widen.feature_types(catalog), domains).collect()}
+    assert got == {1: 2**53 + 1, 2: None}
+
+
+def test_latest_of_one_version_is_the_greatest(spark, catalog, domains):
+    for order in (1, -1):
+        rows = rows_of(spark, [(1, "toy_outlet", "demand.cv", v, 0) for v in ("0.5", "-3", "1e12", "1000000000001", "7")][::order])
+        got = widen.wide(widen.compact(widen.deltas(rows, catalog, domains)), widen.feature_types(catalog), domains, "latest").first()
+        assert got["demand_features__cv"] == 1000000000001.0
 
 
 def test_rank_within(spark):
