@@ -109,8 +109,9 @@ def deltas(rows: DataFrame, catalog: DataFrame, domains: DataFrame, batch: Colum
 
 
 def compact_cells(parts: DataFrame) -> DataFrame:
-    """Deltas merged cell by cell: ``entity_id, feature, domain`` and the fields of a cell."""
-    long = parts.select("entity_id", "domain", F.explode_outer("cells").alias("feature", "cell")).select("entity_id", "domain", "feature", "cell.*")
+    """Deltas merged cell by cell: ``entity_id, feature, domain`` and the fields of a cell. Whole deltas go
+    to their entity's task, one per batch at most, and are taken apart there."""
+    long = parts.select("entity_id", "domain", "cells").repartition("entity_id").select("entity_id", "domain", F.explode_outer("cells").alias("feature", "cell")).select("entity_id", "domain", "feature", "cell.*")
     return long.groupBy("entity_id", "feature").agg(F.max("domain").alias("domain"), *_merged("least", "most", "whole_least", "whole_most", F.sum("readable")))
 
 
