@@ -30,6 +30,9 @@ class Limits:
     outside: float = 0.03  #: share of numbers clearly outside the limits that nearly all loads keep
     psi: float = 0.2  #: population stability index, beyond what chance gives at this load's size
     slack: float = 0.25  #: further off than this part of the range is clearly outside; such extremes don't widen the limits
+    keep: float = 0.9  #: part of the other loads whose extremes lie within the limits
+    least_psi: float = 0.1  #: a smaller index stands out too, from this one on,
+    times: float = 5.0  #: if it is so many times that of the column's median load
     usual: float = 0.005  #: share of a load's texts that a usual form has in more than half of the loads
     bins: int = 20
 
@@ -50,8 +53,8 @@ def profile(counts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per load and column from value counts (written once; they are read several times).
 
     ``rows, nulls, null_rate, distinct, least, most`` (numbers), ``ill_formed``: numbers that are NaN
-    or infinite, texts not in a usual form; ``low, high``: the limits that nearly all loads keep;
-    ``outside``: numbers beyond them, ``far_outside``: clearly beyond; ``psi, chi_square``: spread of values in range and usual form
+    or infinite, texts not in a usual form; ``low, high``: the limits that nearly all loads keep
+    (the extremes of all but a tenth of the loads); ``outside``: numbers beyond them, ``far_outside``: clearly beyond; ``psi, chi_square``: spread of values in range and usual form
     against that in the other loads, over equal bins of the range, or the texts themselves.
     """
     counts = durable(counts)
@@ -72,10 +75,14 @@ def profile(counts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     mid = ends.groupBy("column_name").agg(F.median("lo").alias("mlo"), F.median("hi").alias("mhi"))
     reach = limits.slack * (F.col("mhi") - F.col("mlo"))
     kept = ends.join(mid, "column_name").groupBy("column_name").agg(
-        F.min(F.when(F.col("lo") >= F.col("mlo") - reach, F.col("lo"))).alias("low"), F.max(F.when(F.col("hi") <= F.col("mhi") + reach, F.col("hi"))).alias("high")
+        F.percentile(F.when(F.col("lo") >= F.col("mlo") - reach, F.col("lo")), 1 - limits.keep).alias("low"), F.percentile(F.when(F.col("hi") <= F.col("mhi") + reach, F.col("hi")), limits.keep).alias("high")
     )
 
-    c = counts.join(usual, ["column_name", "text"], "left").join(kept, "column_name", "left")
+    # usual forms, at most 2 / limits.usual a column, and limits, one row a column, go to the counts; texts
+    # and numbers apart, so that no key stands for all numbers
+    kept = F.broadcast(kept)
+    unknown = F.lit(None).cast("boolean").alias("usual")
+    c = counts.where(text.isNull()).select("*", unknown).unionByName(texts.join(F.broadcast(usual), ["column_name", "text"], "left")).join(kept, "column_name", "left")
     width = F.col("high") - F.col("low")
     far_off = finite & ((number < F.col("low") - limits.slack * width) | (number > F.col("high") + limits.slack * width))
     inside = finite & number.between(F.col("low"), F.col("high"))
@@ -120,8 +127,8 @@ def issues(profiled: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``load_id, column_name, issue`` for columns that in one load stand out from its other loads."""
     given = F.col("rows") - F.col("nulls")
     textual = F.col("low").isNull()
-    p = profiled.withColumn("given", given).withColumn("form_rate", F.when(textual & (given > 0), F.col("ill_formed") / given)).withColumn("out_rate", F.when(given > 0, F.col("far_outside") / given))
-    mid = p.groupBy("column_name").agg(F.median("null_rate").alias("mid_null"), F.median("form_rate").alias("mid_form"), F.median("out_rate").alias("mid_out"), F.count(F.lit(1)).alias("loads"))
+    p = profiled.withColumn("given", given).withColumn("form_rate", F.when(textual & (given > 0), F.col("ill_formed") / given)).withColumn("out_rate", F.when(given > 0, F.col("far_outside") / given)).withColumn("edge_rate", F.when(given > 0, F.col("outside") / given))
+    mid = p.groupBy("column_name").agg(F.median("null_rate").alias("mid_null"), F.median("form_rate").alias("mid_form"), F.median("out_rate").alias("mid_out"), F.median("edge_rate").alias("mid_edge"), F.median("psi").alias("mid_psi"), F.count(F.lit(1)).alias("loads"))
     p = p.join(mid, "column_name")
 
     def far(rate: str, middle: str, size: Column, margin: float) -> Column:
@@ -129,13 +136,17 @@ def issues(profiled: DataFrame, limits: Limits = Limits()) -> DataFrame:
         error = F.sqrt(F.greatest((m + 1 / (size + 1)) * (1 - m), F.lit(0.0)) / F.greatest(size, F.lit(1)))
         return F.coalesce(F.abs(F.col(rate) - m) > margin + limits.sigmas * error, F.lit(False))
 
-    chance = (F.col("cells") - 1) / F.greatest(F.col("comparable"), F.lit(1))
+    chance = limits.sigmas * (F.col("cells") - 1) / F.greatest(F.col("comparable"), F.lit(1))
+    spread = (F.col("psi") > limits.psi + chance) | ((F.col("psi") > limits.least_psi + chance) & (F.col("psi") > limits.times * F.col("mid_psi")))
+    spread = F.coalesce(spread, F.lit(False))
+    # numbers just beyond the limits are a matter of range only where the rest is spread as ever
+    beyond = far("out_rate", "mid_out", given, limits.outside) | (far("edge_rate", "mid_edge", given, limits.outside) & ~spread)
     found = F.array_compact(
         F.array(
             F.when(far("null_rate", "mid_null", F.col("rows"), limits.null_margin), F.lit("null_rate")),
             F.when(far("form_rate", "mid_form", given, limits.form_margin), F.lit("written_form")),
-            F.when(far("out_rate", "mid_out", given, limits.outside), F.lit("range")),
-            F.when(F.col("psi") > limits.psi + limits.sigmas * chance, F.lit("distribution")),
+            F.when(beyond, F.lit("range")),
+            F.when(spread, F.lit("distribution")),
         )
     )
     return p.where(F.col("loads") > 1).select("load_id", "column_name", F.explode(found).alias("issue"))

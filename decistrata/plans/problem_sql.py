@@ -39,36 +39,53 @@ SELECT load_id, column_name, count(*) AS n_rows, count(*) FILTER (num IS NULL AN
        count(DISTINCT num) + count(DISTINCT txt) AS n_distinct, min(num) AS least, max(num) AS most
 FROM c GROUP BY ALL"""
 
-P2_FOUND = f"""WITH {_COLUMNS},
+_P2 = f"""WITH {_COLUMNS},
 lsize AS (SELECT column_name, load_id, count(*) AS size FROM c WHERE txt IS NOT NULL GROUP BY ALL),
 tv AS (SELECT column_name, load_id, txt, count(*) AS n FROM c WHERE txt IS NOT NULL GROUP BY ALL),
 nload AS (SELECT column_name, count(*) AS loads FROM lsize GROUP BY ALL),
 usual AS (SELECT column_name, txt FROM tv JOIN lsize USING (column_name, load_id) JOIN nload USING (column_name) WHERE n >= 0.005 * size
           GROUP BY column_name, txt HAVING 2 * count(*) > max(loads)),
-ends AS (SELECT column_name, load_id, min(num) AS lo, max(num) AS hi FROM c WHERE num IS NOT NULL GROUP BY ALL),
+ends AS (SELECT column_name, load_id, min(num) AS lo, max(num) AS hi FROM c WHERE isfinite(num) GROUP BY ALL),
 mid AS (SELECT column_name, median(lo) AS mlo, median(hi) AS mhi FROM ends GROUP BY ALL),
-kept AS (SELECT column_name, min(lo) FILTER (lo >= mlo - 0.25 * (mhi - mlo)) AS low, max(hi) FILTER (hi <= mhi + 0.25 * (mhi - mlo)) AS high
+kept AS (SELECT column_name, quantile_cont(lo, 0.1) FILTER (lo >= mlo - 0.25 * (mhi - mlo)) AS low, quantile_cont(hi, 0.9) FILTER (hi <= mhi + 0.25 * (mhi - mlo)) AS high
          FROM ends JOIN mid USING (column_name) GROUP BY ALL),
-d AS (SELECT c.*, low, high, u.txt IS NOT NULL AS is_usual FROM c LEFT JOIN kept USING (column_name) LEFT JOIN usual u ON u.column_name = c.column_name AND u.txt = c.txt),
-f AS (SELECT load_id, column_name, count(*) AS n, avg((num IS NULL AND txt IS NULL)::INT) AS nr, count(num) + count(txt) AS given,
-             count(*) FILTER (txt IS NOT NULL AND NOT is_usual) AS ill,
-             count(*) FILTER (num < low - 0.25 * (high - low) OR num > high + 0.25 * (high - low)) AS far, max(low) IS NULL AS textual
+d AS (SELECT c.*, low, high, u.txt IS NOT NULL AS is_usual, coalesce(isfinite(num), false) AS fine
+      FROM c LEFT JOIN kept USING (column_name) LEFT JOIN usual u ON u.column_name = c.column_name AND u.txt = c.txt),
+f AS (SELECT load_id, column_name, count(*) AS n, count(*) FILTER (num IS NULL AND txt IS NULL) AS nulls, count(DISTINCT num) + count(DISTINCT txt) AS n_distinct, count(num) + count(txt) AS given,
+             min(num) FILTER (fine) AS least, max(num) FILTER (fine) AS most, count(*) FILTER ((num IS NOT NULL AND NOT fine) OR (txt IS NOT NULL AND NOT is_usual)) AS ill,
+             max(low) AS low, max(high) AS high, count(*) FILTER (fine AND NOT num BETWEEN low AND high) AS outside,
+             count(*) FILTER (fine AND (num < low - 0.25 * (high - low) OR num > high + 0.25 * (high - low))) AS far
       FROM d GROUP BY ALL),
-r AS (SELECT *, CASE WHEN textual AND given > 0 THEN ill / given END AS fr, CASE WHEN given > 0 THEN far / given END AS orate FROM f),
-m AS (SELECT column_name, median(nr) AS mnr, median(fr) AS mfr, median(orate) AS mor, count(*) AS loads FROM r GROUP BY ALL),
 k AS (SELECT load_id, column_name, CASE WHEN num BETWEEN low AND high THEN least(floor((num - low) / greatest(high - low, 1e-300) * 20), 19)::INT::VARCHAR WHEN is_usual THEN txt END AS cell FROM d),
 own AS (SELECT load_id, column_name, cell, count(*) AS own FROM k WHERE cell IS NOT NULL GROUP BY ALL),
 own_n AS (SELECT load_id, column_name, sum(own) AS own_n FROM own GROUP BY ALL),
 every AS (SELECT column_name, cell, sum(own) AS every FROM own GROUP BY ALL),
 all_n AS (SELECT column_name, sum(every) AS all_n, count(*) AS cells FROM every GROUP BY ALL),
-grid AS (SELECT o.load_id, o.column_name, (coalesce(own, 0) + 0.5) / (own_n + 0.5 * cells) AS p, (every - coalesce(own, 0) + 0.5) / (all_n - own_n + 0.5 * cells) AS q, cells, own_n
+grid AS (SELECT o.load_id, o.column_name, coalesce(own, 0) AS o, (coalesce(own, 0) + 0.5) / (own_n + 0.5 * cells) AS p, (every - coalesce(own, 0) + 0.5) / (all_n - own_n + 0.5 * cells) AS q, cells, own_n, all_n - own_n AS rest_n
          FROM own_n o JOIN all_n USING (column_name) JOIN every e USING (column_name) LEFT JOIN own ON own.load_id = o.load_id AND own.column_name = o.column_name AND own.cell = e.cell),
-psi AS (SELECT load_id, column_name, sum((p - q) * ln(p / q)) AS psi, max(cells) AS cells, max(own_n) AS own_n FROM grid GROUP BY ALL),
-x AS (SELECT r.*, m.*, psi, cells, own_n FROM r JOIN m USING (column_name) LEFT JOIN psi USING (load_id, column_name) WHERE loads > 1)
+psi AS (SELECT load_id, column_name, CASE WHEN max(rest_n) > 0 THEN sum((p - q) * ln(p / q)) END AS psi, CASE WHEN max(rest_n) > 0 THEN sum((o - q * own_n) * (o - q * own_n) / (q * own_n)) END AS chi,
+               max(cells) AS cells, max(own_n) AS own_n FROM grid GROUP BY ALL),
+r AS (SELECT f.*, nulls / n AS nr, CASE WHEN low IS NULL AND given > 0 THEN ill / given END AS fr, CASE WHEN given > 0 THEN far / given END AS orate, CASE WHEN given > 0 THEN outside / given END AS erate,
+             psi, chi, cells, own_n FROM f LEFT JOIN psi USING (load_id, column_name))"""
+
+P2_FOUND = f"""{_P2},
+m AS (SELECT column_name, median(nr) AS mnr, median(fr) AS mfr, median(orate) AS mor, median(erate) AS mer, median(psi) AS mpsi, count(*) AS loads FROM r GROUP BY ALL),
+x AS (SELECT *, coalesce(psi > 0.2 + 4 * (cells - 1) / greatest(own_n, 1) OR (psi > 0.1 + 4 * (cells - 1) / greatest(own_n, 1) AND psi > 5 * mpsi), false) AS spread
+      FROM r JOIN m USING (column_name) WHERE loads > 1)
 SELECT load_id, column_name, 'null_rate' AS issue FROM x WHERE abs(nr - mnr) > 0.08 + 4 * sqrt(greatest((mnr + 1 / (n + 1)) * (1 - mnr), 0) / greatest(n, 1))
 UNION ALL SELECT load_id, column_name, 'written_form' FROM x WHERE abs(fr - mfr) > 0.08 + 4 * sqrt(greatest((mfr + 1 / (given + 1)) * (1 - mfr), 0) / greatest(given, 1))
 UNION ALL SELECT load_id, column_name, 'range' FROM x WHERE abs(orate - mor) > 0.03 + 4 * sqrt(greatest((mor + 1 / (given + 1)) * (1 - mor), 0) / greatest(given, 1))
-UNION ALL SELECT load_id, column_name, 'distribution' FROM x WHERE psi > 0.2 + 4 * (cells - 1) / greatest(own_n, 1)"""
+          OR (NOT spread AND abs(erate - mer) > 0.03 + 4 * sqrt(greatest((mer + 1 / (given + 1)) * (1 - mer), 0) / greatest(given, 1)))
+UNION ALL SELECT load_id, column_name, 'distribution' FROM x WHERE spread"""
+
+P2_PROFILE = f"""{_P2}
+SELECT load_id, column_name, n AS rows, nulls, n_distinct AS "distinct", least, most, ill AS ill_formed, low, high, outside, far AS far_outside,
+       round(psi, 6) AS psi, round(chi, 3) AS chi_square, cells, own_n::BIGINT AS comparable, nr AS null_rate FROM r"""
+
+P2_DRIFT = f"""{_P2}
+SELECT load_id, column_name, nr AS null_rate, lag(nr) OVER w AS null_rate_before, n_distinct AS "distinct", lag(n_distinct) OVER w AS distinct_before, least, lag(least) OVER w AS least_before,
+       most, lag(most) OVER w AS most_before, round(psi, 6) AS psi, round(lag(psi) OVER w, 6) AS psi_before
+FROM r WINDOW w AS (PARTITION BY column_name ORDER BY load_id NULLS FIRST)"""
 
 P4_FOUND = f"""WITH {DOMAINS},
 s AS (SELECT state_id, domain, {network_key('network_id')} AS net, demand_features, inventory_features FROM decision_states LEFT JOIN dom ON dk = {domain_key('domain_id')} WHERE state_id IS NOT NULL),
