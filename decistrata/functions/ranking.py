@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Parts of the key space of a group. A part holds about 1/PARTS of a group, whatever its size.
 PARTS = 4096
 
 
+def key_range(ident: list[str], seed: int) -> Column:
+    """Number of the range, 0 to PARTS - 1 in the order of ranks, that a row's random key lies in."""
+    return (F.shiftright(F.xxhash64(*ident, F.lit(seed)), 52) + PARTS // 2).cast("int")
+
+
 def rank_within(df: DataFrame, keys: list[str], ident: list[str], seed: int = 17, to: str = "rank") -> DataFrame:
     """Add the 1-based rank of each row by a random but repeatable key within its group.
 
@@ -17,7 +22,7 @@ def rank_within(df: DataFrame, keys: list[str], ident: list[str], seed: int = 17
     its own range, so the sort works on (group, range) and a hot group is spread over all tasks.
     ``keys`` may hold nulls (null is a group); ``ident`` should be unique in a group.
     """
-    tagged = df.withColumn("_h", F.xxhash64(*ident, F.lit(seed))).withColumn("_p", F.shiftright("_h", 52).cast("int"))
+    tagged = df.withColumn("_h", F.xxhash64(*ident, F.lit(seed))).withColumn("_p", key_range(ident, seed))
     sizes = tagged.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows a group at most
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
