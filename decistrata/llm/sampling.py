@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import with_domain
-from ..functions.ranking import rank_within
+from ..functions.ranking import key_range, rank_within
 from ..sources import durable, ship
 
 if TYPE_CHECKING:  # the driver needs no pandas of its own
@@ -104,8 +104,23 @@ def sample(states: DataFrame, labels: DataFrame, requests: DataFrame, targets: D
     have one random order; a request takes its first ones, so the draw repeats with the same seed."""
     pool = durable(labelled(states, labels, domains))
     report = allocation(pool, requests, targets, domains).select("request_id", F.col("domain_id").alias("domain"), F.col("material_reconfiguration").alias("outcome"), "quota")
-    ranked = rank_within(pool, ["domain", "outcome"], ["state_id"], seed)
     most = report.groupBy("domain", "outcome").agg(F.max("quota").alias("most"), F.collect_list(F.struct("request_id", "quota")).alias("q"))
-    few = ranked.join(most, ["domain", "outcome"]).where(F.col("rank") <= F.col("most"))
+    most = durable(most.where(F.col("most") > 0))
+    few = rank_within(_likely(pool, most, seed), ["domain", "outcome"], ["state_id"], seed).join(most, ["domain", "outcome"]).where(F.col("rank") <= F.col("most"))
     out = few.select("state_id", "domain", "outcome", "rank", F.explode("q").alias("q")).where(F.col("rank") <= F.col("q.quota"))
     return out.select(F.col("q.request_id").alias("request_id"), "state_id", F.col("domain").alias("domain_id"), F.col("outcome").alias("material_reconfiguration"))
+
+
+def _likely(pool: DataFrame, most: DataFrame, seed: int) -> DataFrame:
+    """Rows of a category whose random key is small enough to be among its first ``most``, and hardly more,
+    so that a small sample of a large category sorts few rows.
+
+    Keys are those of the rank. They are cut into ranges; all ranges up to the one that completes
+    ``most`` are kept, by exact counts, so no row of the sample is lost.
+    """
+    keyed = pool.withColumn("_p", key_range(["state_id"], seed))
+    sizes = keyed.groupBy("domain", "outcome", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("domain", "outcome").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # PARTS rows a category at most
+    last = sizes.withColumn("_before", before).join(most.select("domain", "outcome", "most"), ["domain", "outcome"]).where(F.col("_before") < F.col("most"))
+    last = last.groupBy("domain", "outcome").agg(F.max("_p").alias("_last"))
+    return keyed.join(last, ["domain", "outcome"]).where(F.col("_p") <= F.col("_last")).drop("_p", "_last")

@@ -2,12 +2,14 @@
 
 Components come from parallel hooking and shortcutting over a parent table: every root hooks onto
 the smallest root beside it, pointers are halved until they are flat, and the edges shrink to edges
-between roots. A round at least halves the roots that still have an edge, so rounds grow as the
-logarithm of the longest chain. Nothing but a size histogram comes to the driver.
+between roots. Two rounds at least halve the roots that still have an edge (a star with a large centre
+takes both), so rounds grow as the logarithm of the longest chain. Nothing but a size histogram comes to
+the driver.
 
 Which components go where is decided on that histogram (size and how many components have it):
-subset-sum bitsets over the size multiplicities find the split totals closest to the targets. The
-rows then follow by an exact rank within each size.
+each split first gets its proportion of the components of every size, rounded down, so that large and
+small ones are in all splits; subset-sum bitsets over the size multiplicities then find the rest that
+brings the totals closest to the targets. The rows follow by an exact rank within each size.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import network_key, with_domain
 from ..functions.ranking import rank_within
-from ..sources import durable
+from ..sources import bounded, durable
 
 #: Relations that bind two networks together; other notes don't. Fixed values.
 BINDING = ("derived_from", "renamed_to", "merged_into", "split_from")
@@ -93,28 +95,38 @@ def choose(histogram: dict[int, int], target: int) -> dict[int, int]:
     """How many of each size to take so that the total is as close to ``target`` as any choice is; ties go
     to the smaller total.
 
-    Most of a large total is first taken by size and only the last UNITS rows are searched. What hits the
-    closest multiple of the sizes' common divisor can't be beaten. Otherwise the whole total is searched, up
-    to the distance that the first attempt left.
+    At first each size gives its proportion of components, rounded down, and only the rest is searched.
+    What hits the closest multiple of the sizes' common divisor can't be beaten. Otherwise most of the
+    total is taken by size, largest first, and the last UNITS rows are searched; then, if that misses too, the
+    whole total, up to the distance that was left.
     """
     usable = {s: m for s, m in histogram.items() if 0 < s <= 2 * target and m > 0}
     if not usable:
         return {}
     g = math.gcd(*usable)
     near = min(target // g * g, (target // g + 1) * g, key=lambda total: (abs(total - target), total))
-    took, rest, left = {}, target, dict(usable)
-    for size in sorted(usable, reverse=True):
-        k = min(left[size], max(0, rest - UNITS) // size)
-        if k:
-            took[size] = k
-            left[size] -= k
-            rest -= k * size
-    for size, k in _closest(left, rest, 2 * rest, g).items():
-        took[size] = took.get(size, 0) + k
-    total = sum(s * k for s, k in took.items())
-    if total == near or rest == target:
-        return took
-    return _closest(usable, target, target + min(target, abs(total - target)), g)
+    everything = sum(s * m for s, m in usable.items())
+    even = {s: m * min(target, everything) // everything for s, m in usable.items()}
+    best: tuple[int, dict[int, int]] | None = None
+    for start in (even, {}):
+        took = {s: k for s, k in start.items() if k}
+        left = {s: m - took.get(s, 0) for s, m in usable.items()}
+        rest = target - sum(s * k for s, k in took.items())
+        for size in sorted(usable, reverse=True):
+            k = min(left[size], max(0, rest - UNITS) // size)
+            if k:
+                took[size] = took.get(size, 0) + k
+                left[size] -= k
+                rest -= k * size
+        whole = rest == target
+        for size, k in _closest(left, rest, 2 * rest, g).items():
+            took[size] = took.get(size, 0) + k
+        total = sum(s * k for s, k in took.items())
+        if best is None or (abs(total - target), total) < (abs(best[0] - target), best[0]):
+            best = (total, took)
+        if best[0] == near or whole:
+            return best[1]
+    return _closest(usable, target, target + min(target, abs(best[0] - target)), g)
 
 
 def _closest(histogram: dict[int, int], target: int, cap: int, g: int) -> dict[int, int]:
@@ -169,7 +181,22 @@ def plan(histogram: dict[int, int], shares: dict[str, float]) -> dict[str, dict[
     return out
 
 
-def split(states: DataFrame, links: DataFrame, domains: DataFrame, shares: dict[str, float] | None = None, seed: int = 11) -> DataFrame:
+#: States of one network or entity that may come to one task.
+HOT = 100_000
+
+
+def _joined(states: DataFrame, small: DataFrame, key: str, how: str, hot: int) -> DataFrame:
+    """Join to a table of networks or entities, a row each. States of those that have more than ``hot`` stay
+    where they are: such keys, found by a count, are few and their rows are sent to all tasks."""
+    many = states.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col(key).isNotNull() & (F.col("_n") > hot)).select(key)
+    many = durable(many)
+    if not many.head(1):
+        return states.join(small, key, how)
+    cold = states.join(bounded(many), key, "left_anti").join(small, key, how)
+    return cold.unionByName(states.join(bounded(durable(many.join(small, key, how))), key))
+
+
+def split(states: DataFrame, links: DataFrame, domains: DataFrame, shares: dict[str, float] | None = None, seed: int = 11, hot: int = HOT) -> DataFrame:
     """``state_id, domain_id, entity, split``: one row per state, every state in exactly one split.
 
     ``shares`` are proportions of states, in order; the last takes the rest. A state whose network
@@ -180,8 +207,7 @@ def split(states: DataFrame, links: DataFrame, domains: DataFrame, shares: dict[
     shares = shares or {"test": 0.1, "validation": 0.1, "train": 0.8}
     s = with_domain(states.where(F.col("state_id").isNotNull()), domains).select("state_id", "domain", network_key(F.col("network_id")).alias("net"))
     s = s.groupBy("state_id").agg(F.max("domain").alias("domain"), F.max(F.when(F.col("domain").isNotNull() & F.col("net").isNotNull(), F.concat_ws("|", "domain", "net"))).alias("node"))
-    roots = network_components(states, links, domains).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    s = s.withColumn("_salt", F.pmod(F.xxhash64("state_id"), F.lit(8)).cast("int")).join(roots, ["node", "_salt"], "left").drop("_salt")
+    s = _joined(durable(s), network_components(states, links, domains), "node", "left", hot)
     s = durable(s.select("state_id", "domain", F.coalesce("root", "node", F.concat(F.lit("state|"), F.col("state_id").cast("string"))).alias("entity")))
     sizes = durable(s.groupBy("entity").agg(F.count(F.lit(1)).alias("size")))
     histogram = {r[0]: r[1] for r in sizes.groupBy("size").agg(F.count(F.lit(1)).alias("m")).collect()}
@@ -195,6 +221,4 @@ def split(states: DataFrame, links: DataFrame, domains: DataFrame, shares: dict[
     schema = "size bigint, above bigint, upto bigint, split string"
     r = spark.createDataFrame(ranges, schema)
     placed = rank_within(sizes, ["size"], ["entity"], seed).join(r, "size").where((F.col("rank") > F.col("above")) & (F.col("rank") <= F.col("upto"))).select("entity", "split")
-    placed = placed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    out = s.withColumn("_salt", F.pmod(F.xxhash64("state_id"), F.lit(8)).cast("int")).join(placed, ["entity", "_salt"])
-    return out.select("state_id", F.col("domain").alias("domain_id"), "entity", "split")
+    return _joined(s, placed, "entity", "inner", hot).select("state_id", F.col("domain").alias("domain_id"), "entity", "split")

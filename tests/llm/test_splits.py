@@ -60,7 +60,7 @@ def test_plan_uses_every_component():
     assert sum(s * m for s, m in p["test"].items()) == round(total * 0.1)
 
 
-@pytest.mark.parametrize("h", [{1: 8_400_000}, {5: 60_000_000}, {1: 200_000_000, 3: 5_000_000, 500: 20_000, 9_000_000: 1}])
+@pytest.mark.parametrize("h", [{1: 4_194_304}, {1: 4_194_305}, {1: 10_000_000}, {1: 100_000_000}, {1: 8_400_000}, {5: 60_000_000}, {1: 200_000_000, 3: 5_000_000, 500: 20_000, 9_000_000: 1}])
 def test_plan_keeps_proportions_of_large_totals(h):
     p = splits.plan(h, {"test": 0.1, "validation": 0.1, "train": 0.8})
     assert {s: sum(x.get(s, 0) for x in p.values()) for s in h} == h
@@ -68,6 +68,15 @@ def test_plan_keeps_proportions_of_large_totals(h):
     assert [sum(s * m for s, m in p[k].items()) for k in ("test", "validation")] == [round(total * 0.1)] * 2
 
 
+def test_every_split_has_components_of_all_sizes():
+    h = {1: 30_000, 40: 500, 9_000: 20}
+    p = splits.plan(h, {"test": 0.1, "validation": 0.1, "train": 0.8})
+    total = sum(s * m for s, m in h.items())
+    for name, share in (("test", 0.1), ("validation", 0.1), ("train", 0.8)):
+        assert sum(s * k for s, k in p[name].items()) == round(share * total)
+        assert all(abs(p[name].get(s, 0) - share * m) <= max(0.02 * m, 2) for s, m in h.items())
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_choose_is_closest_in_parts(seed, monkeypatch):
     """Where only the end of the total is searched at first, with and without a common divisor."""
@@ -108,3 +117,5 @@ def test_split_proportions(spark):
     assert got.groupBy("entity").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
     counts = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
     assert sum(counts.values()) == 3000 and abs(counts["test"] - 300) <= 7 and abs(counts["validation"] - 300) <= 7
+    again = splits.split(s, spark.createDataFrame([], LINKS), domains, hot=15)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
