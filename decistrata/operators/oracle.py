@@ -16,12 +16,12 @@ PINNED_COMMIT = "51aebd06edf8f5d6d124d0f3eebdbb901e63274f"
 
 @dataclass(frozen=True)
 class OracleProvenance:
-    """Which oracle gave a label. Only the revision has a default; names are the caller's to give."""
+    """Which oracle gave a label. The repository is the caller's to give. The other defaults are fixed values."""
 
     repository: str | None = None
     commit_sha: str = PINNED_COMMIT
-    model_name: str | None = None
-    algorithm_name: str | None = None
+    model_name: str | None = "robust inventory reconfiguration model"
+    algorithm_name: str | None = "PRB-Benders"
     frozen: bool = True
 
     def to_df(self, spark: SparkSession) -> DataFrame:

@@ -119,7 +119,7 @@ def oracle_provenance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pinned_oracle(spark: SparkSession, d: str) -> DataFrame:
-    return oracle.OracleProvenance().to_df(spark).select("commit_sha", "frozen")
+    return oracle.OracleProvenance().to_df(spark).select("commit_sha", "model_name", "algorithm_name", "frozen")
 
 
 QUERIES = {
@@ -154,5 +154,5 @@ SQL = {
     "risk_trigger": """SELECT state_id, load_id, coalesce("Gamma" >= 7.0, false) AS invoke_oracle, CASE WHEN coalesce("Gamma" >= 7.0, false) THEN 'invoke_oracle' ELSE 'retain_incumbent' END AS decision FROM decision_states""",
     "oracle_label": "SELECT state_id, load_id, material_reconfiguration, optimization_value, oracle_status FROM oracle_labels",
     "oracle_provenance": "SELECT provenance_id, repository, commit_sha, model_name, algorithm_name, frozen FROM oracle_provenance",
-    "pinned_oracle": f"SELECT '{oracle.PINNED_COMMIT}' AS commit_sha, true AS frozen",
+    "pinned_oracle": f"SELECT '{oracle.PINNED_COMMIT}' AS commit_sha, 'robust inventory reconfiguration model' AS model_name, 'PRB-Benders' AS algorithm_name, true AS frozen",
 }

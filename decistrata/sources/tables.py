@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 _folders: set[str] = set()
+_open = threading.local()  # lists of the tables made within `temporary`, innermost last
 _LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
@@ -43,7 +47,26 @@ def scratch(spark: SparkSession) -> str:
         fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
         fs.mkdirs(path)
         fs.deleteOnExit(path)
-    return f"{folder}/{uuid.uuid4().hex}"
+    path = f"{folder}/{uuid.uuid4().hex}"
+    for made in getattr(_open, "tables", []):
+        made.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables that this thread's operators write within the block when it ends. Use what depends on
+    them inside: a DataFrame taken out of the block can't be read any more."""
+    made: list[str] = []
+    _open.tables = [*getattr(_open, "tables", []), made]
+    try:
+        yield
+    finally:
+        _open.tables = _open.tables[:-1]
+        sc = spark.sparkContext
+        for name in made:
+            path = sc._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:

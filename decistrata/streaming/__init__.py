@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..operators import features, policy, widen
 from ..operators.trigger import RiskTrigger
 from ..schemas import IDS
+from ..sources import temporary
 
 
 def decisions(states: DataFrame, trigger: RiskTrigger) -> DataFrame:
@@ -35,7 +36,8 @@ def upserts(rows: DataFrame, catalog: DataFrame, domains: DataFrame, log: str) -
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        run = widen.deltas(batch, catalog, domains, F.lit(number))
-        widen.write_run(run, f"{log}/{number:012d}", replace=True)
+        with temporary(batch.sparkSession):  # a stream that never ends leaves no tables behind
+            run = widen.deltas(batch, catalog, domains, F.lit(number))
+            widen.write_run(run, f"{log}/{number:012d}", replace=True)
 
     return rows.writeStream.foreachBatch(append)

@@ -1,6 +1,7 @@
 """Column profile, filling and wide upserts on small tables."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from compare import DATA
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from decistrata import streaming
 from decistrata.functions import ids, ranking, values
 from decistrata.operators import fill, profile, widen
-from decistrata.sources import table
+from decistrata.sources import shared_dir, table
 
 T0 = dt.datetime(2011, 1, 1)
 
@@ -190,12 +191,15 @@ def test_runs(spark, catalog, domains, tmp_path):
 
 def test_upsert_stream(spark, catalog, domains, tmp_path):
     source, log = str(tmp_path / "in"), str(tmp_path / "log")
-    for k in range(3):
-        rows_of(spark, CELLS[k::3]).coalesce(1).write.mode("append").parquet(source)
+    for k in range(10):
+        rows_of(spark, CELLS[k::10]).coalesce(1).write.mode("append").parquet(source)
+    tables = Path(shared_dir(spark).removeprefix("file:").replace("//", "/")) / "tables" / spark.sparkContext.applicationId
+    before = len(list(tables.glob("*"))) if tables.exists() else 0
     stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(source)
     q = streaming.upserts(stream, catalog, domains, log).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert q.exception() is None and len(list((tmp_path / "log").iterdir())) == 3
+    assert q.exception() is None and len(list((tmp_path / "log").iterdir())) == 10
+    assert len(list(tables.glob("*"))) == before  # no table of a batch is left
     types = widen.feature_types(catalog)
     whole = widen.compact(widen.deltas(rows_of(spark, CELLS), catalog, domains))
     a, b = (sorted(map(str, widen.wide(x, types, domains, "latest").collect())) for x in (whole, widen.compact(widen.read_runs(spark, f"{log}/*"))))
