@@ -1,7 +1,8 @@
 """Reading level of each document.
 
-A linear ranker is learned from pairs of graded documents of one language: the one that raters put
-higher must score higher. Features are the document's vocabulary (share of each word) and its syntax
+A linear ranker is learned from pairs of graded documents of one script (Han or another; languages of one
+script share their scale, as words of their own tell them apart): the one that raters put higher must
+score higher. Features are the document's vocabulary (share of each word) and its syntax
 (lengths of words and sentences, links within sentences). Scores of short passages are calibrated
 into levels by isotonic regression, and a document gets the level of most of its text, so that a
 few sentences of another level don't shift it.
@@ -29,6 +30,7 @@ _BULLET = r"^[ \t]*[-*•·–]"  # an item of a list starts a sentence
 _TOKEN = regex.compile(rf"(?m:{_BULLET})|\p{{Han}}|[^\W\d_\p{{Han}}]+|\d+|[.!?;:,\n。！？；：，、]")
 _TOKEN_ASCII = re.compile(r"(?m:^[ \t]*[-*])|[a-z]+|[0-9]+|[.!?;:,\n]")
 _LINE, _END, _LINK, _ITEM, _NUMBER, _HAN, _WORD = range(7)
+_STOP = "\0"  #: a token between texts; no text holds it, as it is no letter, number or sign
 
 
 class _Kinds(dict):
@@ -38,7 +40,7 @@ class _Kinds(dict):
         if len(self) >= 400_000:
             self.clear()
         c = token[0]
-        if c == "\n":
+        if c in "\n\0":
             kind = _LINE
         elif c in ".!?;。！？；":
             kind = _END
@@ -72,7 +74,10 @@ class Setup:
     words: int = 40  #: running prose has so many words,
     han: int = 60  #: or so many Chinese characters
     prose: float = 0.6  #: share of words among a line's tokens from which the line is prose
-    script: int = 24  #: graded documents of a script from which its levels are calibrated apart
+    script: int = 24  #: graded documents of a script from which its levels are calibrated apart; fewer share those of all
+    points: int = 24  #: passages of a graded document, evenly spread, that levels are calibrated on, or up to twice as many
+    texts: int = 256  #: texts that are rated at once, at most,
+    tokens: int = 200_000  #: and their tokens, beyond which no further text is added
     seed: int = 5
 
 
@@ -87,11 +92,15 @@ class Parsed:
     han: int
 
 
+def tokens_of(text: str) -> list[str]:
+    p = plain(text)
+    return (_TOKEN_ASCII if p.isascii() else _TOKEN).findall(p)
+
+
 def parse(text: str, setup: Setup) -> Parsed:
     """Lines that are no prose (logs, tables, keys) are left out; wrapped lines make one sentence.
     A sentence ends at its sign, an empty or left-out line, or the next item of a list."""
-    p = plain(text)
-    tokens = (_TOKEN_ASCII if p.isascii() else _TOKEN).findall(p)
+    tokens = tokens_of(text)
     kind = np.fromiter(map(_KINDS.__getitem__, tokens), dtype=np.int8, count=len(tokens))
     new_line = kind == _LINE
     line = np.cumsum(new_line) - new_line  # a line's end belongs to it
@@ -180,6 +189,78 @@ class Model:
         return int(votes.argmax()) + 1
 
 
+class Lexicon(dict):
+    """Token to its place in arrays of kinds, lengths and weights, so that a token is looked at once."""
+
+    limit = 400_000
+
+    def __init__(self, weights: Weights):
+        super().__init__()
+        self.weights = weights
+        self.kind, self.length, self.weight = np.zeros(1024, np.int8), np.zeros(1024, np.float32), np.zeros(1024)
+
+    def __missing__(self, token: str) -> int:
+        at = len(self)
+        if at == len(self.kind):
+            self.kind, self.length, self.weight = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.length, self.weight))
+        kind = self.kind[at] = _KINDS[token]
+        self.length[at] = len(token)
+        self.weight[at] = self.weights["0" if kind == _NUMBER else token]
+        self[token] = at
+        return at
+
+
+def rated(model: Model, lexicon: Lexicon, plains: list[list[str]]) -> list[int | None]:
+    """:meth:`Model.level` of several texts, given as their tokens, in one go. Every step is that of
+    :func:`parse`; a stop after each text keeps lines, sentences and passages apart."""
+    setup = model.setup
+    if len(lexicon) > lexicon.limit:
+        lexicon.clear()
+    tokens = [t for p in plains for t in (*p, _STOP)]
+    n = len(plains)
+    at = np.fromiter(map(lexicon.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+    doc = np.repeat(np.arange(n), [len(p) + 1 for p in plains])
+    kind = lexicon.kind[at]
+    stop = at == lexicon[_STOP]
+    new_line = kind == _LINE
+    line = np.cumsum(new_line) - new_line
+    solid = np.bincount(line, weights=kind >= _NUMBER)
+    prose = (solid > 0) & (np.bincount(line, weights=kind >= _HAN) >= setup.prose * solid)
+    inside = prose[line]
+    spot = np.cumsum((kind == _END) | (kind == _ITEM) | stop | (new_line & ~inside))
+    here = np.flatnonzero(inside & (kind >= _NUMBER))
+    if not len(here):
+        return [None] * n
+    k, mine = kind[here], doc[here]
+    own = np.cumsum(np.diff(spot[here], prepend=spot[here[0]]) > 0)
+    size = np.bincount(own)
+    link = np.flatnonzero(inside & (kind == _LINK))
+    to = np.searchsorted(spot[here], spot[link])
+    link, to = link[to < len(here)], to[to < len(here)]
+    links = np.bincount(own[to[mine[to] == doc[link]]], minlength=len(size))
+    length, latin, han = lexicon.length[at[here]], k == _WORD, k == _HAN
+    weight = lexicon.weight[at[here]]
+    if han.any():
+        pair = np.flatnonzero(han[1:] & han[:-1] & (np.diff(here) == 1)) + 1
+        first, second = here[pair - 1].tolist(), here[pair].tolist()
+        weight[pair] = np.fromiter((model.weights[tokens[i] + tokens[j]] for i, j in zip(first, second, strict=True)), dtype=np.float64, count=len(pair))
+        length[pair] += lexicon.length[at[here[pair - 1]]]
+    around = size[own]
+    syntax = np.stack([np.where(latin, np.minimum(length, 20) / 10, 0), latin & (length > 7), np.log1p(np.minimum(around, 80)) / 4, (links / size)[own] * 5, k == _NUMBER], axis=1).astype(np.float32)
+    s = weight + syntax @ model.syntax
+    c = np.concatenate([[0.0], np.cumsum(s)])
+    ends = np.cumsum(np.bincount(mine, minlength=n))
+    i = np.arange(len(s))
+    a, b = np.maximum(i - setup.reach, (ends - np.bincount(mine, minlength=n))[mine]), np.minimum(i + setup.reach + 1, ends[mine])
+    local = (1 - setup.mix) * (c[b] - c[a]) / (b - a) + setup.mix * (np.bincount(own, weights=s) / size)[own]
+    words, characters = np.bincount(mine, weights=latin, minlength=n), np.bincount(mine, weights=han, minlength=n)
+    script = (characters > words).astype(np.int64)
+    level = (local[:, None] >= model.cuts[script[mine]]).sum(axis=1)
+    votes = np.bincount(mine * 4 + level, weights=1.0 / np.minimum(around, setup.long), minlength=4 * n).reshape(n, 4)
+    enough = (words >= setup.words) | (characters >= setup.han)
+    return [v + 1 if ok else None for v, ok in zip(votes.argmax(axis=1).tolist(), enough.tolist(), strict=True)]
+
+
 def passage(s: np.ndarray, sentence: np.ndarray, setup: Setup) -> np.ndarray:
     """Mean of the score of the words around and of that of the word's sentence."""
     around = smooth(s, setup.reach)
@@ -210,8 +291,8 @@ def fit(graded: list[tuple[str, float]], setup: Setup = Setup()) -> Model:
     if n < 2 or len(set(y.tolist())) < 2:
         return Model(Weights(), np.zeros(len(SYNTAX)), np.array([[-np.inf, np.inf, np.inf]] * 2), setup)
     ids = [np.fromiter((index.get(w, m) for w in p.words), dtype=np.int64, count=len(p.words)) for p, _ in docs]
-    #: documents of a language are compared with each other
-    language = np.array([int(p.han > p.latin) for p, _ in docs])
+    #: documents of a script are compared with each other
+    script = np.array([int(p.han > p.latin) for p, _ in docs])
     keep = [np.ones(len(i), dtype=bool) for i in ids]
     w, v = np.zeros(m + 1), np.zeros(len(SYNTAX))
     cuts = np.zeros((2, 3))
@@ -228,7 +309,7 @@ def fit(graded: list[tuple[str, float]], setup: Setup = Setup()) -> Model:
         rows_, cols_, vals_ = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
         w, v = np.zeros(m + 1), np.zeros(len(SYNTAX))
         mw, sw, mv, sv = np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)
-        groups = [np.flatnonzero(language == g) for g in (0, 1)]
+        groups = [np.flatnonzero(script == g) for g in (0, 1)]
         for step in range(1, setup.steps + 1):
             s = np.bincount(rows_, weights=vals_ * w[cols_], minlength=n) + syn @ v
             a = np.concatenate([np.repeat(g, setup.pairs) for g in groups if len(g) > 1])
@@ -246,13 +327,13 @@ def fit(graded: list[tuple[str, float]], setup: Setup = Setup()) -> Model:
                 sx += 0.001 * (gx * gx - sx)
                 x -= setup.rate * (mx / (1 - 0.9**step)) / (np.sqrt(sx / (1 - 0.999**step)) + 1e-8)
         scores = [passage(w[i] + p.syntax @ v, p.sentence, setup) for i, (p, _) in zip(ids, docs, strict=True)]
-        part = [np.flatnonzero(k)[:: max(1, k.sum() // 24)] for k in keep]
+        part = [np.flatnonzero(k)[:: max(1, k.sum() // setup.points)] for k in keep]
         xs = np.concatenate([s[q] for s, q in zip(scores, part, strict=True)])
         ys = np.concatenate([np.full(len(q), t) for q, t in zip(part, y, strict=True)])
-        gs = np.concatenate([np.full(len(q), g) for q, g in zip(part, language, strict=True)])
-        cuts = np.stack([_cuts(xs, ys) if not enough else _cuts(xs[gs == g], ys[gs == g]) for g, enough in enumerate(np.bincount(language, minlength=2) >= setup.script)])
+        gs = np.concatenate([np.full(len(q), g) for q, g in zip(part, script, strict=True)])
+        cuts = np.stack([_cuts(xs, ys) if not enough else _cuts(xs[gs == g], ys[gs == g]) for g, enough in enumerate(np.bincount(script, minlength=2) >= setup.script)])
         # the second fit leaves out passages that are plainly of another level than their document
-        keep = [(np.abs(np.searchsorted(cuts[g], s, side="right") + 1 - t) <= 0.75) for s, t, g in zip(scores, y, language, strict=True)]
+        keep = [(np.abs(np.searchsorted(cuts[g], s, side="right") + 1 - t) <= 0.75) for s, t, g in zip(scores, y, script, strict=True)]
         keep = [k if k.mean() > 0.3 else np.ones(len(k), dtype=bool) for k in keep]
     weights = Weights({x: float(w[i]) for x, i in index.items()})
     weights.unknown = float(w[m])
@@ -264,14 +345,24 @@ def grades(documents: DataFrame, levels: DataFrame, setup: Setup = Setup()) -> l
     hash of their id. Ratings that are null or off the scale don't count; a rater counts once."""
     r = levels.where(F.col("reading_level").between(1, 4) & F.col("doc_id").isNotNull()).groupBy("doc_id", "rater").agg(F.avg("reading_level").alias("v"))
     r = r.groupBy("doc_id").agg(F.avg("v").alias("level"))
-    few = r.orderBy(F.xxhash64("doc_id"), "doc_id").limit(setup.documents)
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "level").collect()
-    return [(t, y) for _, t, y in sorted(rows)]
+    few = {x[0]: x[1] for x in r.orderBy(F.xxhash64("doc_id"), "doc_id").limit(setup.documents).collect()}
+    chosen = documents.where(F.col("doc_id").isin(list(few)) & F.col("text").isNotNull()) if few else documents.limit(0)
+    return sorted((t, few[d]) for d, t in chosen.select("doc_id", "text").collect())
 
 
 def _rate(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    lexicon = Lexicon(model.weights)
     for batch in batches:
-        levels = [model.level(t) if (t := text.as_py()) else None for text in batch.column(0)]
+        levels: list[int | None] = []
+        part: list[list[str]] = []
+        size = 0
+        for text in batch.column(0):
+            part.append(tokens_of(text.as_py() or ""))
+            size += len(part[-1])
+            if len(part) >= model.setup.texts or size >= model.setup.tokens:
+                levels += rated(model, lexicon, part)
+                part, size = [], 0
+        levels += rated(model, lexicon, part) if part else []
         kept = range(1, batch.num_columns)
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(levels, pa.int32())], [*[batch.schema.field(i).name for i in kept], "reading_level"])
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from decistrata.llm import reading
 
 LEVEL = {
@@ -64,3 +65,29 @@ def test_grades_are_bounded_and_averaged(spark):
 def test_chinese():
     p = reading.parse("在可比站点范围内，调拨预算直接影响季度持有成本。今天很冷！", reading.Setup())
     assert p.han == 26 and p.latin == 0 and p.words[0] == "在" and p.words[1] == "在可"
+
+
+def test_rated_together_as_alone(passages_of_all_kinds):
+    """Texts rated in one go get the levels that each gets alone, whatever stands beside them."""
+    texts, model = passages_of_all_kinds
+    want = [model.level(t) for t in texts]
+    assert len(set(want)) > 2
+    lexicon = reading.Lexicon(model.weights)
+    for size in (1, 3, len(texts)):
+        got = [x for k in range(0, len(texts), size) for x in reading.rated(model, lexicon, [reading.tokens_of(t) for t in texts[k : k + size]])]
+        assert got == want
+    lexicon.limit = 5
+    assert reading.rated(model, lexicon, [reading.tokens_of(t) for t in texts]) == want
+
+
+@pytest.fixture(scope="module")
+def passages_of_all_kinds():
+    rng = random.Random(2)
+    easy, hard = ["the", "cat", "sat", "on", "a", "mat", "we", "go", "home", "now"], ["stochastic", "optimization", "notwithstanding", "heterogeneous", "replenishment", "asymptotically", "of", "under"]
+    prose = lambda words, n, step: ". ".join(" ".join(rng.choice(words) for _ in range(step)) for _ in range(n)) + "."
+    graded = [(prose(easy, 12, 5), 1.0) for _ in range(30)] + [(prose(hard, 6, 14), 4.0) for _ in range(30)] + [(prose(easy, 6, 5) + " " + prose(hard, 6, 10), 2.5) for _ in range(30)]
+    han = "仓库里有很多货物，司机每天早上把箱子送到商店。" * 4
+    odd = ["", " ", "\n", ", , ,", "1 2 3\n4 5 6\n" * 20, "- one\n- two, three\n" * 15, han, han + prose(easy, 12, 5), prose(hard, 1, 300), "id=7;x=3\n" + prose(easy, 12, 5), "word", ":", prose(easy, 12, 5) + "\n\n,"]
+    texts = [t for t, _ in graded[::7]] + odd
+    rng.shuffle(texts)
+    return texts, reading.fit(graded)
