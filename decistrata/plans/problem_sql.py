@@ -87,7 +87,7 @@ SELECT load_id, column_name, nr AS null_rate, lag(nr) OVER w AS null_rate_before
        most, lag(most) OVER w AS most_before, round(psi, 6) AS psi, round(lag(psi) OVER w, 6) AS psi_before
 FROM r WINDOW w AS (PARTITION BY column_name ORDER BY load_id NULLS FIRST)"""
 
-P4_FOUND = f"""WITH {DOMAINS},
+_P4 = f"""WITH {DOMAINS},
 s AS (SELECT state_id, domain, {network_key('network_id')} AS net, demand_features, inventory_features FROM decision_states LEFT JOIN dom ON dk = {domain_key('domain_id')} WHERE state_id IS NOT NULL),
 cat AS (SELECT domain, feature_group || '.' || feature_name AS field, feature_group AS g, feature_name AS f FROM feature_catalog JOIN dom ON dk = {domain_key('domain_id')} WHERE feature_group IN ('demand_features', 'inventory_features')),
 e AS (SELECT state_id, field, v FROM (
@@ -101,10 +101,18 @@ below AS (SELECT field, n, row_number() OVER (PARTITION BY field ORDER BY n DESC
 signed AS (SELECT field FROM below GROUP BY field HAVING 2 * sum(n) FILTER (r <= 5) < sum(n)),
 usable AS (SELECT DISTINCT state_id, field FROM e LEFT JOIN size USING (field)
            WHERE (v = 0 OR abs(v) <= 1e9 * size) AND v NOT IN (SELECT v FROM codes) AND (v >= 0 OR field IN (SELECT field FROM signed))),
-one AS (SELECT state_id, max(domain) AS domain, max(net) AS net FROM s GROUP BY state_id)
-SELECT state_id, 'network_id' AS field FROM one WHERE net IS NULL
+one AS (SELECT state_id, max(domain) AS domain, max(net) AS net FROM s GROUP BY state_id),
+lack AS (SELECT state_id, domain, 'network_id' AS field FROM one WHERE net IS NULL
 UNION ALL
-SELECT state_id, field FROM (SELECT DISTINCT state_id, field FROM one JOIN cat USING (domain)) w WHERE NOT EXISTS (SELECT 1 FROM usable u WHERE u.state_id = w.state_id AND u.field = w.field)"""
+SELECT state_id, domain, field FROM (SELECT DISTINCT state_id, domain, field FROM one JOIN cat USING (domain)) w WHERE NOT EXISTS (SELECT 1 FROM usable u WHERE u.state_id = w.state_id AND u.field = w.field))"""
+
+P4_FOUND = f"""{_P4} SELECT state_id, field FROM lack"""
+
+#: Every field is filled of which any state of the domain has a value.
+P4_CHECK = f"""{_P4},
+has AS (SELECT domain, field FROM usable JOIN one USING (state_id) GROUP BY ALL UNION ALL SELECT domain, 'network_id' FROM one WHERE net IS NOT NULL AND domain IS NOT NULL GROUP BY domain)
+SELECT lack.field, count(*) AS missing, count(has.field) FILTER (lack.field <> 'network_id') AS "values", count(has.field) FILTER (lack.field = 'network_id') AS labels, count(has.field) AS marked
+FROM lack LEFT JOIN has ON has.domain = lack.domain AND has.field = lack.field GROUP BY lack.field"""
 
 _TIDY = f"trim(regexp_replace(regexp_replace(lower(regexp_replace({narrow('raw_value')}, '\\p{{Cf}}', '', 'g')), '[−–]', '-', 'g'), '[\\s\\x{{00A0}}\\x{{2007}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g'))"
 

@@ -54,6 +54,12 @@ def p4_fills(spark: SparkSession, d: str) -> DataFrame:
     return _fill(spark, d)
 
 
+def p4_check(spark: SparkSession, d: str) -> DataFrame:
+    """By field: how many states lack it, how many of these got a value or a label, and what is marked so."""
+    f = _fill(spark, d)
+    return f.groupBy("field").agg(F.count_distinct("state_id").alias("missing"), F.count("value").alias("values"), F.count("label").alias("labels"), F.count(F.when(F.col("filled"), 1)).alias("marked"))
+
+
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     """Deltas of all batches, written as a sorted run that compaction reads."""
     log = scratch(spark)
@@ -74,5 +80,5 @@ def p5_latest(spark: SparkSession, d: str) -> DataFrame:
     return widen.wide(widen.compact(_runs(spark, d)), widen.feature_types(table(spark, d, "feature_catalog")), table(spark, d, "domains"), "latest")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_exact, p2_drift, p4_found, p4_fills, p5_found, p5_wide, p5_latest)}
-SQL = {"p2_profile": problem_sql.P2_PROFILE, "p2_drift": problem_sql.P2_DRIFT, "p2_found": problem_sql.P2_FOUND, "p2_exact": problem_sql.P2_EXACT, "p4_found": problem_sql.P4_FOUND, "p5_found": problem_sql.P5_FOUND, "p5_wide": problem_sql.P5_WIDE, "p5_latest": problem_sql.P5_LATEST}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_exact, p2_drift, p4_found, p4_fills, p4_check, p5_found, p5_wide, p5_latest)}
+SQL = {"p2_profile": problem_sql.P2_PROFILE, "p2_drift": problem_sql.P2_DRIFT, "p2_found": problem_sql.P2_FOUND, "p2_exact": problem_sql.P2_EXACT, "p4_found": problem_sql.P4_FOUND, "p4_check": problem_sql.P4_CHECK, "p5_found": problem_sql.P5_FOUND, "p5_wide": problem_sql.P5_WIDE, "p5_latest": problem_sql.P5_LATEST}
