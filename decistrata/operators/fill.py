@@ -50,6 +50,7 @@ class Spread:
     time_weight: float = 1.0
     like_weight: float = 1.0
     domain_weight: float = 0.5  #: of the domain beside its week, where no likeness tells a network
+    sent: int = 250_000  #: means of groups, some 40 bytes each, that are sent to all tasks at most; more are joined by shuffle
     far: float = 1e3  #: typical sizes from which a number that recurs in two features is a code
     beyond: float = 1e9  #: typical sizes from which no number is a measurement
     structure: tuple[str, ...] = ("nodes", "arcs", "hub_share")  #: of ``network_features``; states are alike that share two
@@ -222,6 +223,9 @@ def fill_numbers(tidied: DataFrame, cases: DataFrame, n: int, spread: Spread = S
     observed = {k: durable(_observed(tidied, keys[:-1], n)) for k, (keys, _) in groups.items()}
     whole = observed["time"].groupBy("domain", "field").agg(F.avg(F.col("s") / F.col("n")).alias("whole"))
 
+    # the groups are the same in all rounds, so one count shows whether their means may be sent to all tasks
+    few = {k: observed[k].count() + cases.select(*keys).distinct().count() <= spread.sent for k, (keys, _) in groups.items()}
+
     def added(sums: DataFrame, filled: DataFrame, keys: list[str]) -> DataFrame:
         """A group's sums with the fills of its cases."""
         more = filled.where(F.col(keys[1]).isNotNull() & F.col("value").isNotNull()).groupBy(*keys).agg(F.sum(F.col("value") * F.col("m")).alias("s"), F.sum("m").alias("n"))
@@ -229,7 +233,8 @@ def fill_numbers(tidied: DataFrame, cases: DataFrame, n: int, spread: Spread = S
 
     def averaged(at: DataFrame, sums: dict[str, DataFrame]) -> DataFrame:
         for k, (keys, _) in groups.items():
-            at = at.join(sums[k].select(*keys, (F.col("s") / F.col("n")).alias(f"mean_{k}")), keys, "left")
+            means = sums[k].select(*keys, (F.col("s") / F.col("n")).alias(f"mean_{k}"))
+            at = at.join(F.broadcast(means) if few[k] else means, keys, "left")
         mass = sum((F.when(F.col(f"mean_{k}").isNotNull(), w).otherwise(0.0) for k, (_, w) in groups.items()), F.lit(0.0))
         total = sum((F.coalesce(F.col(f"mean_{k}"), F.lit(0.0)) * w for k, (_, w) in groups.items()), F.lit(0.0))
         new = F.when(mass > 0, total / mass).otherwise(F.col("whole"))

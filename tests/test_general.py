@@ -263,6 +263,7 @@ def test_fill_converges(spark, catalog, domains):
         return {r["state_id"]: r["value"] for r in got}
 
     limit, got = cv(fill.Spread(rounds=20, tolerance=0.0)), cv(fill.Spread())
+    assert cv(fill.Spread(sent=0)) == pytest.approx(got)
     assert set(got) == set(limit) == {*range(10, 16), 20, 21, 22}
     assert all(abs(got[k] / limit[k] - 1) < 0.02 for k in got)
 
