@@ -312,3 +312,11 @@ def test_held_out_values(spark):
     mean = truth.agg(F.avg("cv")).first()[0]
     cvs = both.where((hide == 1) & (F.col("field") == "demand_features.cv") & F.col("cv").isNotNull()).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("value") - F.col("cv"))).alias("off"), F.avg(F.abs(mean - F.col("cv"))).alias("base")).first()
     assert cvs["n"] > 150 and cvs["off"] < 0.45 * cvs["base"]
+
+
+def test_hot_cases(spark):
+    """Cases with too many states for a task give the same values by the other way."""
+    missing = spark.range(60).selectExpr("id as state_id", "cast(id % 3 as string) as field", "id % 6 as case")
+    known = spark.range(6).selectExpr("id as case", "id * 10.0D as m", "if(id = 5, null, id * 1.5D) as value")
+    results = [sorted((r["state_id"], r["field"], r["value"] or -1.0) for r in fill._with_cases(missing, known, hot).collect()) for hot in (1000, 25, 0)]
+    assert len(results[0]) == 60 and results[0] == results[1] == results[2]
